@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from warpline.llm import byte_pairs, log_buckets
+from warpline.llm import byte_pairs, languages, leaks, log_buckets
 from warpline.plans.registry import Registry
 
 registry = Registry()
 registry.add("p5_percentiles", "runtime_estimates", "evaluations")(log_buckets.run_store_percentiles)
 registry.add("p5_sketch", "runtime_estimates", "evaluations")(log_buckets.run_store_sketch)
 registry.add("p7_ids", "documents")(byte_pairs.token_ids)
+registry.add("p8_found", "documents", "eval_items")(leaks.leaks)
+registry.add("p9_found", "documents", "lang_samples")(languages.found)
+registry.add("p9_languages", "documents", "lang_samples")(languages.languages)
