@@ -13,7 +13,7 @@ has the most letters over its lines. Equal lines, digits apart, are classified o
 
 Defined results: a null, empty or blank text, and one with nothing but code, has no language and no row; a line
 of fewer than ``LETTERS`` letters counts for the document's language and isn't listed by itself; ties
-go to the first of ``LANGUAGES``.
+go to the first of ``LANGUAGES``; without sentences of known language nothing can be told and no row is given.
 """
 
 from __future__ import annotations
@@ -196,12 +196,12 @@ def classified(network: Network, lines: list[str]) -> list[tuple[str, float]]:
     return [(LANGUAGES[k], float(p[i, k])) for i, k in enumerate(best)]
 
 
-def trained(documents: DataFrame, samples: DataFrame) -> Network:
-    """The network, from the sentences of known language and a bounded number of documents."""
+def trained(documents: DataFrame, samples: DataFrame) -> Network | None:
+    """The network (none without a sentence of known language), from the sentences of known language and a bounded number of documents."""
     known = [(r[0], label_of(r[1])) for r in samples.select("text", "lang").limit(LINES * len(LANGUAGES)).collect()]
     lines = [(tidy(t), LANGUAGES.index(c)) for t, c in sorted((t, c) for t, c in known if t and c)]
     if not lines:
-        return Network()
+        return None
     first = Network().fit(*_examples(lines), epochs=40)
     ids = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DOCUMENTS)
     some = documents.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi").orderBy("doc_id")
@@ -229,11 +229,14 @@ def trained(documents: DataFrame, samples: DataFrame) -> Network:
     for c in LANGUAGES:
         own = sorted(t for t, codes in labelled.items() if codes == {c})
         pick = np.random.default_rng(SEED).permutation(len(own))[:LINES]
-        own = [own[i] for i in pick] * min(8, max(1, LINES // max(1, len(own))))
-        more += [(t, LANGUAGES.index(c)) for t in own]
-    both = lines * 3 + more
+        more += [(own[i], LANGUAGES.index(c)) for i in pick]
     # the same without accents, as some texts are written
-    both += [(t, c) for t, c in ((unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), c) for t, c in both if LANGUAGES[c] in ("de", "fr", "es", "pt")) if letters_of(t) >= LETTERS]
+    bare = ((unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), c) for t, c in lines + more if LANGUAGES[c] in ("de", "fr", "es", "pt"))
+    both = lines * 3 + more + [(t, c) for t, c in bare if letters_of(t) >= LETTERS]
+    # every language weighs the same
+    by = [[e for e in both if e[1] == k] for k in range(len(LANGUAGES))]
+    most = max(map(len, by))
+    both = [e for own in by if own for e in (own * (most // len(own) + 1))[:most]]
     return Network().fit(*_examples(both), epochs=EPOCHS)
 
 
@@ -297,7 +300,10 @@ def languages(documents: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, line_no, lang, confidence, is_case): a row of each document with a language, and of each line in another one."""
     import pickle
 
-    shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(trained(documents, samples)))  # about 0.3 MB, of fixed size
+    schema = "doc_id bigint, line_no int, lang string, confidence double, is_case boolean"
+    if (network := trained(documents, samples)) is None:
+        return documents.sparkSession.createDataFrame([], schema)
+    shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(network))  # about 0.3 MB, of fixed size
 
     def run(batches):
         network, memory = _held(shared.value)
@@ -307,7 +313,7 @@ def languages(documents: DataFrame, samples: DataFrame) -> DataFrame:
             cols = [pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "line_no", "lang", "confidence", "is_case"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").mapInArrow(run, "doc_id bigint, line_no int, lang string, confidence double, is_case boolean")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").mapInArrow(run, schema)
 
 
 def found(documents: DataFrame, samples: DataFrame) -> DataFrame:
