@@ -59,11 +59,15 @@ def word_counts(toks: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def unigram(counts: DataFrame, power: float = 0.75) -> DataFrame:
-    """(word_id, p, cdf): the powered distribution and its cumulative form, whose last value is 1."""
+    """(word_id, p, low, cdf): the powered distribution and the interval of each word in its cumulative form, whose last end is 1.
+
+    The total order is over the vocabulary, not over the tokens.
+    """
     p = counts.withColumn("w", F.when(F.col("n") > 0, F.pow("n", F.lit(power))).otherwise(0.0))
-    w = Window.orderBy("word_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.orderBy("word_id")
     p = p.crossJoin(p.agg(F.sum("w").alias("total"), F.max("word_id").alias("last")))
-    return p.select("word_id", r6(F.col("w") / F.col("total"), 9).alias("p"), r6(F.when(F.col("word_id") == F.col("last"), 1.0).otherwise(F.sum("w").over(w) / F.col("total"))).alias("cdf"))
+    p = p.withColumn("cdf", F.when(F.col("word_id") == F.col("last"), 1.0).otherwise(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.col("total")))
+    return p.select("word_id", (F.col("w") / F.col("total")).alias("p"), F.coalesce(F.lag("cdf").over(w), F.lit(0.0)).alias("low"), "cdf")
 
 
 def contexts(documents: DataFrame, words=split_collapsed, window: int = 2) -> DataFrame:

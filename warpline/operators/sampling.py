@@ -29,17 +29,16 @@ def alias_table(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def drawn(rows: DataFrame, keys: list[str], distribution: DataFrame, negatives: int, target: str, seed: int = 0) -> DataFrame:
     """rows with ``negative``: that many exact draws a row, never the row's target, by inverting the conditional cdf.
 
-    ``distribution``: (word_id, p, cdf). The point ``u (1 - p_t)`` is moved past the target's interval, then found in
+    ``distribution``: (word_id, p, low, cdf). The point ``u (1 - p_t)`` is moved past the target's interval, then found in
     the cdf by a join on its leading digits.
     """
-    own = distribution.select(F.col("word_id").alias(target), F.col("p").alias("_pt"), (F.col("cdf") - F.col("p")).alias("_lt"))
+    own = distribution.select(F.col("word_id").alias(target), (F.col("cdf") - F.col("low")).alias("_pt"), F.col("low").alias("_lt"))
     draws = rows.join(own, target).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(negatives))))
     u = uniform(*keys, "draw", seed=seed) * (1 - F.col("_pt"))
     draws = draws.withColumn("_u", F.when(u < F.col("_lt"), u).otherwise(u + F.col("_pt"))).drop("_pt", "_lt")
     cells = 1024
     place = lambda c: F.floor(c * cells).cast("int")
-    cut = distribution.withColumn("_low", F.col("cdf") - F.col("p"))
-    cut = cut.select(F.col("word_id").alias("negative"), "_low", F.col("cdf").alias("_high"), F.explode(F.sequence(place(F.col("_low")), place(F.col("cdf")))).alias("_cell"))
+    cut = distribution.select(F.col("word_id").alias("negative"), F.col("low").alias("_low"), F.col("cdf").alias("_high"), F.explode(F.sequence(place(F.col("low")), place(F.col("cdf")))).alias("_cell"))
     found = draws.withColumn("_cell", place(F.col("_u"))).join(cut, "_cell").where((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
     return found.drop("_cell", "_u", "_low", "_high")
 

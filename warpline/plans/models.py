@@ -219,8 +219,7 @@ def sampling_negatives(d):
     t = C.tokens(d.where("doc_type = 'notes'"))
     v = C.vocabulary(t)
     dist = C.unigram(v.select("word_id", "n"))
-    exact = dist.select("word_id", "p", "cdf")
-    return S.drawn(C.encoded(t, v), ["doc_id", "pos"], exact, 5, "word_id")
+    return S.drawn(C.encoded(t, v), ["doc_id", "pos"], dist, 5, "word_id")
 
 
 @add("sampling_split", "documents")

@@ -59,7 +59,7 @@ def corpus_word_counts(d):
 @add("corpus_unigram", "documents", sql=TOKENS + ", w AS (SELECT word_id, pow(n, 0.75) AS w FROM vocab) SELECT word_id, round(w / sum(w) OVER (), 9) + 0.0 AS p, CASE WHEN word_id = max(word_id) OVER () THEN 1.0 ELSE round(sum(w) OVER (ORDER BY word_id) / sum(w) OVER (), 6) + 0.0 END AS cdf FROM w")
 def corpus_unigram(d):
     v = C.vocabulary(C.tokens(d))
-    return C.unigram(v.select("word_id", "n"))
+    return C.unigram(v.select("word_id", "n")).select("word_id", C.r6(F.col("p"), 9).alias("p"), C.r6(F.col("cdf")).alias("cdf"))
 
 
 add("corpus_contexts", "documents", sql=TOKENS + """SELECT doc_id, pos, [words[pos - 1], words[pos], words[pos + 2], words[pos + 3]] AS context, words[pos + 1] AS target
