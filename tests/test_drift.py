@@ -29,6 +29,7 @@ CASES = [
     (changed(o={"deep": 2, "maxSize": 3}), {("o/max_size", "renamed")}),
     (changed(o={"deep": 2}) | {"max_size": 3}, {("o/max_size", "renamed")}),
     (changed(items=[]), set()),
+    ({k: v for k, v in changed(other={"id": "q"}).items() if k != "id"}, {("id", "removed"), ("other", "added")}),
     (changed(items=[{"name_of": "p", "nbytes": 1}, {"name_of": "q", "nbytes": 2}]), {("items[]/bytes", "renamed")}),
     (changed(items=[{"name_of": "p"}]), {("items[]/bytes", "removed")}),
 ]

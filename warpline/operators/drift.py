@@ -143,10 +143,10 @@ def departures(shape: dict[str, str], wanted: dict[str, str], kind: str) -> tupl
     mute |= {p for p in wanted if "[]" in p and (a := p.partition("[]")[0]) in shape and not any(q.startswith(f"{a}[]") for q in shape)}
     extra = {p: t for p, t in shape.items() if p not in wanted and p not in hidden}
     absent = {p: t for p, t in wanted.items() if p not in shape and p not in mute}
+    # what lies below a field that the schema lacks belongs to that field
+    extra = {p: t for p, t in extra.items() if not any(True for _ in parents(p, extra))}
     moved = renames(extra, absent, kind)
     added = [p for p in extra if p not in moved.values()]
-    added = [p for p in added if not any(True for _ in parents(p, added))]
-    added = [p for p in added if not any(m.startswith((f"{p}/", f"{p}[]")) for m in moved.values())]
     changes = [(p, "retyped") for p in retyped if not any(True for _ in parents(p, [r for r in retyped if r != p]))]
     changes += [(p, "renamed") for p in moved] + [(p, "removed") for p in absent if p not in moved] + [(p, "added") for p in added]
     return sorted(changes), moved
