@@ -12,7 +12,8 @@ of the mean of its windows' log probabilities; the confidence is the probability
 has the most letters over its lines. Equal lines, digits apart, are classified once per worker.
 
 Defined results: a null, empty or blank text, and one with nothing but code, has no language and no row; a line
-of fewer than ``LETTERS`` letters counts for the document's language and isn't listed by itself; ties
+of fewer than ``LETTERS`` letters, or given another language with less than ``LEAST_CONFIDENCE``, counts for the
+document's language and isn't listed by itself; ties
 go to the first of ``LANGUAGES``; without sentences of known language nothing can be told and no row is given.
 """
 
@@ -36,7 +37,7 @@ NAMES = {
     "es": "es", "spa": "es", "spanish": "es", "pt": "pt", "por": "pt", "portuguese": "pt",
 }
 WINDOW, WIDTHS, FILTERS = 64, (2, 3, 4), 24
-LETTERS = 20
+LETTERS, LEAST_CONFIDENCE = 20, 0.65
 DOCUMENTS, LINES, EPOCHS, SEED = 4_000, 1_500, 6, 11
 REMEMBERED = 300_000
 
@@ -79,9 +80,9 @@ def is_prose(line: str) -> bool:
     if wide * 2 >= letters:
         return len(set(bare)) > 3
     words = [w.strip(_EDGES) for w in bare.split()]
-    plain = [w for w in words if _PLAIN_WORD.fullmatch(w)]
-    inside = sum(map(letters_of, plain))
-    if inside + wide < 0.7 * letters or len(plain) < 3 and letters >= LETTERS or letters >= LETTERS and len(set(plain)) < 3:
+    plain = [w for w in words if w.isalpha() or _PLAIN_WORD.fullmatch(w)]
+    inside = letters_of("".join(plain))
+    if inside + wide < 0.7 * letters or len(plain) < 3 or letters >= LETTERS and len(set(plain)) < 3:
         return False
     if len(_NUMBER.findall(bare)) > len(plain):  # sums and dates
         return False
@@ -256,9 +257,12 @@ def _held(payload: bytes) -> tuple[Network, dict]:
 
 
 def language_rows(network: Network, memory: dict, texts: list[str | None], labels: list[str | None]) -> list[tuple[int, int, str, float, bool]]:
-    """(number of text, line number, language, confidence, whether it is a case) for the texts (line 0) and their lines."""
+    """(number of text, line number, language, confidence, whether it is a case) for the texts (line 0) and their lines.
+
+    ``memory``: line -> (language, confidence, letters), without a language for what is no prose.
+    """
     parts: list[list[tuple[int, str, int]]] = []
-    asked: dict[str, None] = {}
+    asked: dict[str, int] = {}
     for t in texts:
         own = []
         for n, line in enumerate((t or "").split("\n"), 1):
@@ -266,21 +270,22 @@ def language_rows(network: Network, memory: dict, texts: list[str | None], label
                 continue
             key = tidy(line)
             if key not in memory:
-                memory[key] = (None, 0.0) if not is_prose(key) else None
-            if memory[key] is None:
-                asked[key] = None
-            elif memory[key][0] is None:
+                if is_prose(key):
+                    asked[key] = letters_of(key)
+                memory[key] = (None, 0.0, asked.get(key, 0))
+            known = memory[key]
+            if known[0] is None and key not in asked:
                 continue
-            own.append((n, key, letters_of(line)))
+            own.append((n, key, known[2]))
         parts.append(own)
     for key, answer in zip(asked, classified(network, [_LEAD.sub("", k) for k in asked]), strict=True):
-        memory[key] = answer
+        memory[key] = (*answer, asked[key])
     out = []
     for i, (own, label) in enumerate(zip(parts, labels, strict=True)):
         weight = dict.fromkeys(LANGUAGES, 0)
         sure = dict.fromkeys(LANGUAGES, 0.0)
         for _, key, letters in own:
-            lang, p = memory[key]
+            lang, p, _ = memory[key]
             weight[lang] += letters
             sure[lang] += letters * p
         if not any(weight.values()):
@@ -288,8 +293,8 @@ def language_rows(network: Network, memory: dict, texts: list[str | None], label
         main = max(LANGUAGES, key=weight.get)
         out.append((i, 0, main, sure[main] / weight[main], label_of(label) != main))
         for n, key, letters in own:
-            lang, p = memory[key]
-            if lang != main and letters >= LETTERS:
+            lang, p, _ = memory[key]
+            if lang != main and letters >= LETTERS and p >= LEAST_CONFIDENCE:
                 out.append((i, n, lang, p, True))
     if len(memory) > REMEMBERED:
         memory.clear()
