@@ -37,7 +37,7 @@ NAMES = {
     "es": "es", "spa": "es", "spanish": "es", "pt": "pt", "por": "pt", "portuguese": "pt",
 }
 WINDOW, WIDTHS, FILTERS = 64, (2, 3, 4), 24
-LETTERS, LEAST_CONFIDENCE = 20, 0.65
+LETTERS, LEAST_CONFIDENCE = 20, 0.5
 DOCUMENTS, LINES, EPOCHS, SEED = 4_000, 1_500, 6, 11
 REMEMBERED = 300_000
 
