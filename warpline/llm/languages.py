@@ -38,7 +38,7 @@ NAMES = {
 }
 WINDOW, WIDTHS, FILTERS = 64, (2, 3, 4), 24
 LETTERS, LEAST_CONFIDENCE = 20, 0.5
-DOCUMENTS, LINES, EPOCHS, SEED = 4_000, 1_500, 6, 11
+DOCUMENTS, LINES, EPOCHS, LEAST_EXAMPLES, SEED = 4_000, 1_500, 6, 60_000, 11
 REMEMBERED = 300_000
 
 _LETTER = re.compile(r"[^\W\d_]+")
@@ -238,7 +238,8 @@ def trained(documents: DataFrame, samples: DataFrame) -> Network | None:
     by = [[e for e in both if e[1] == k] for k in range(len(LANGUAGES))]
     most = max(map(len, by))
     both = [e for own in by if own for e in (own * (most // len(own) + 1))[:most]]
-    return Network().fit(*_examples(both), epochs=EPOCHS)
+    x, y = _examples(both)
+    return Network().fit(x, y, epochs=max(EPOCHS, LEAST_EXAMPLES // len(x)))
 
 
 def _examples(lines: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
