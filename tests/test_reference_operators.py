@@ -234,3 +234,16 @@ def test_training_learns(spark):
 def test_arrays(spark):
     r = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<double>, b array<double>").select(A.unit(F.col("a")).alias("u"), A.unit(F.col("b")).alias("z"), A.softmax(F.col("a")).alias("s"), A.one_hot(F.lit(1), 3).alias("o"), A.argmax(F.col("b")).alias("m")).collect()[0]
     assert np.allclose(r["u"], [0.6, 0.8]) and r["z"] == [0.0, 0.0] and abs(sum(r["s"]) - 1) < 1e-12 and r["o"] == [0.0, 1.0, 0.0] and r["m"] == 0
+
+
+def test_control():
+    from warpline.operators import control as K
+
+    assert K.parse_selection(["01,03-05", "e08"], ["e01", "e02", "e03", "e04", "e06", "e08"]) == (["e01", "e03", "e04", "e08"], ["e05"])
+    assert K.parse_seeds(["1-3,2"], range(1, 11)) == [1, 2, 3]
+    for bad in (lambda: K.parse_seeds(["99"], [1]), lambda: K.parse_selection(["x"], []), lambda: K.parse_selection(["5-2"], []), lambda: K.overridden({}, ["x"])):
+        with pytest.raises(ValueError):
+            bad()
+    assert K.overridden({"a": {"b": 1}}, ["a.c=2", "d=x"]) == {"a": {"b": 1, "c": "2"}, "d": "x"}
+    assert K.flattened({"a": {"b": 1, "c": {}}, "d": 2}) == {"a/b": 1, "a/c": {}, "d": 2}
+    assert K.in_order({"a": ["b"], "b": ["c", "a"]}, ["a"]) == ["c", "b", "a"]
