@@ -38,7 +38,7 @@ NAMES = {
 }
 WINDOW, WIDTHS, FILTERS = 64, (2, 3, 4), 24
 LETTERS, LEAST_CONFIDENCE = 20, 0.5
-DOCUMENTS, LINES, EPOCHS, LEAST_EXAMPLES, SEED = 4_000, 1_500, 6, 60_000, 11
+DOCUMENTS, LINES, EPOCHS, LEAST_EXAMPLES, SEED = 4_000, 1_500, 3, 60_000, 11
 REMEMBERED = 300_000
 
 _LETTER = re.compile(r"[^\W\d_]+")
