@@ -30,3 +30,8 @@ def deviation(c: Column | str) -> Column:
 def r6(c: Column, digits: int = 6) -> Column:
     """Rounded, so that results don't depend on the order of additions; never -0."""
     return F.round(c, digits) + F.lit(0.0)
+
+
+def half_up(c: Column, digits: int) -> Column:
+    """Rounded, with means of decimal readings that lie on a tie taken up, however the sum was added."""
+    return F.round(c + 1e-9, digits) + F.lit(0.0)

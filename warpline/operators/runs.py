@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warpline.functions.keys import bare_id
-from warpline.functions.numeric import deviation, divided, finite, r6
+from warpline.functions.numeric import deviation, divided, finite, half_up, r6
 
 #: Two-sided 95 % points of Student's t for 1 to 30 degrees of freedom; fixed values.
 T_95 = (
@@ -207,8 +207,8 @@ def timing(estimates: DataFrame) -> DataFrame:
     v = F.col("seconds_per_update")
     rows = estimates.where(finite(v)).dropDuplicates()
     p = F.percentile(v, F.array(F.lit(0.5), F.lit(0.95)))
-    out = rows.groupBy(F.col("canonical_condition_id").alias("condition"), "device").agg(F.count("*").alias("n"), r6(F.avg(v), 4).alias("mean"), r6(F.stddev_pop(v), 4).alias("sd_population"), r6(F.min(v)).alias("minimum"), r6(F.max(v)).alias("maximum"), p.alias("p"))
-    return out.select("*", r6(F.col("p")[0]).alias("p50"), r6(F.col("p")[1]).alias("p95")).drop("p")
+    out = rows.groupBy(F.col("canonical_condition_id").alias("condition"), "device").agg(F.count("*").alias("n"), half_up(F.avg(v), 4).alias("mean"), half_up(F.stddev_pop(v), 4).alias("sd_population"), r6(F.min(v)).alias("minimum"), r6(F.max(v)).alias("maximum"), p.alias("p"))
+    return out.select("*", half_up(F.col("p")[0], 6).alias("p50"), half_up(F.col("p")[1], 6).alias("p95")).drop("p")
 
 
 def t_interval(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -218,7 +218,7 @@ def t_interval(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     t = F.when(F.col("n") > 31, 1.96).otherwise(F.element_at(F.array(*map(F.lit, T_95)), F.greatest(F.lit(1), F.col("n") - 1).cast("int")))
     half = t * F.col("sd") / F.sqrt("n")
     two = F.col("n") > 1
-    return s.select(*keys, "n", r6(F.col("m"), 4).alias("mean"), F.when(two, r6(F.greatest(F.lit(0.0), F.col("m") - half), 4)).alias("low"), F.when(two, r6(F.col("m") + half, 4)).alias("high"))
+    return s.select(*keys, "n", half_up(F.col("m"), 4).alias("mean"), F.when(two, half_up(F.greatest(F.lit(0.0), F.col("m") - half), 4)).alias("low"), F.when(two, half_up(F.col("m") + half, 4)).alias("high"))
 
 
 def perplexity_by_epoch(updates: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from warpline.functions.numeric import r6
+from warpline.functions.numeric import half_up, r6
 from warpline.operators import declarations as D
 from warpline.operators import runs as R
 from warpline.operators import tensors as T
@@ -62,22 +62,22 @@ def checkpoints_prunable(c):
 
 
 @add("timing_pivot", "runtime_estimates", sql=f"""WITH r AS (SELECT DISTINCT * FROM runtime_estimates), d AS (SELECT model, device, avg(seconds_per_update) AS s FROM r WHERE {FIN.format('seconds_per_update')} GROUP BY ALL)
-SELECT model, round(coalesce(max(s) FILTER (WHERE device LIKE 'cpu%'), 0), 4) + 0.0 AS cpu, round(coalesce(max(s) FILTER (WHERE device LIKE 'cuda%'), 0), 4) + 0.0 AS cuda FROM d GROUP BY model""")
+SELECT model, round(coalesce(max(s) FILTER (WHERE device LIKE 'cpu%'), 0) + 1e-9, 4) + 0.0 AS cpu, round(coalesce(max(s) FILTER (WHERE device LIKE 'cuda%'), 0) + 1e-9, 4) + 0.0 AS cuda FROM d GROUP BY model""")
 def timing_pivot(r):
     """(model, cpu, cuda): the slowest device of each kind by its mean, 0 where there is none."""
     d = r.where(R.finite("seconds_per_update")).dropDuplicates().groupBy("model", "device").agg(F.avg("seconds_per_update").alias("s"))
-    worst = lambda k: r6(F.coalesce(F.max(F.when(F.col("device").startswith(k), F.col("s"))), F.lit(0.0)), 4).alias(k)
+    worst = lambda k: half_up(F.coalesce(F.max(F.when(F.col("device").startswith(k), F.col("s"))), F.lit(0.0)), 4).alias(k)
     return d.groupBy("model").agg(worst("cpu"), worst("cuda"))
 
 
 @add("timing_pairs", "runtime_estimates", sql=f"""WITH m AS (SELECT canonical_condition_id AS c, avg(seconds_per_update) AS s FROM (SELECT DISTINCT * FROM runtime_estimates) WHERE {FIN.format('seconds_per_update')} GROUP BY 1)
-SELECT left(a.c, length(a.c) - 4) AS pair, round(a.s, 4) + 0.0 AS forward, round(b.s, 4) + 0.0 AS reversed, round(b.s / a.s, 4) + 0.0 AS ratio FROM m a JOIN m b ON left(a.c, length(a.c) - 4) || '-REV' = b.c WHERE a.c LIKE '%-FWD'""")
+SELECT left(a.c, length(a.c) - 4) AS pair, round(a.s + 1e-9, 4) + 0.0 AS forward, round(b.s + 1e-9, 4) + 0.0 AS reversed, round(b.s / a.s + 1e-9, 4) + 0.0 AS ratio FROM m a JOIN m b ON left(a.c, length(a.c) - 4) || '-REV' = b.c WHERE a.c LIKE '%-FWD'""")
 def timing_pairs(r):
     """(pair, forward, reversed, ratio) of the conditions that differ in their direction only."""
     m = r.where(R.finite("seconds_per_update")).dropDuplicates().groupBy(F.col("canonical_condition_id").alias("c")).agg(F.avg("seconds_per_update").alias("s"))
     side = lambda end, n: m.where(F.col("c").endswith(end)).select(F.regexp_replace("c", f"{end}$", "").alias("pair"), F.col("s").alias(n))
     both = side("-FWD", "forward").join(side("-REV", "reversed"), "pair")
-    return both.select("pair", r6(F.col("forward"), 4).alias("forward"), r6(F.col("reversed"), 4).alias("reversed"), r6(F.col("reversed") / F.col("forward"), 4).alias("ratio"))
+    return both.select("pair", half_up(F.col("forward"), 4).alias("forward"), half_up(F.col("reversed"), 4).alias("reversed"), half_up(F.col("reversed") / F.col("forward"), 4).alias("ratio"))
 
 
 @add("memory_estimate", "runs", sql="SELECT run_id, 8 * 10000 * try_cast(params['model/hidden_size'] AS BIGINT) * 4 AS bytes FROM (SELECT DISTINCT ON (run_id) run_id, params FROM runs)")

@@ -77,12 +77,12 @@ w AS (SELECT coalesce(a.condition, b.condition) AS condition, coalesce(a.seed, b
   FROM (SELECT * FROM side WHERE variant = 'implemented') a FULL JOIN (SELECT * FROM side WHERE variant = 'original') b ON a.condition = b.condition AND a.seed = b.seed AND a.metric = b.metric)
 SELECT condition, seed, metric, round(av, 6) + 0.0 AS implemented_value, CASE WHEN av IS NOT NULL THEN '' WHEN (condition, seed) IN (SELECT (condition, seed) FROM chosen WHERE variant = 'implemented') THEN 'no value' ELSE 'no run' END AS implemented_reason,
   round(bv, 6) + 0.0 AS original_value, CASE WHEN bv IS NOT NULL THEN '' WHEN (condition, seed) IN (SELECT (condition, seed) FROM chosen WHERE variant = 'original') THEN 'no value' ELSE 'no run' END AS original_reason FROM w""")(R.cross_variant)
-add("timing_summary", "runtime_estimates", sql=f"""SELECT canonical_condition_id AS condition, device, count(*) AS n, round(avg(s), 4) + 0.0 AS mean, round(stddev_pop(s), 4) + 0.0 AS sd_population, round(min(s), 6) + 0.0 AS minimum, round(max(s), 6) + 0.0 AS maximum,
-  round(quantile_cont(s, 0.5), 6) + 0.0 AS p50, round(quantile_cont(s, 0.95), 6) + 0.0 AS p95 FROM (SELECT DISTINCT * , seconds_per_update AS s FROM runtime_estimates) WHERE {FIN.format('s')} GROUP BY ALL""")(R.timing)
+add("timing_summary", "runtime_estimates", sql=f"""SELECT canonical_condition_id AS condition, device, count(*) AS n, round(avg(s) + 1e-9, 4) + 0.0 AS mean, round(stddev_pop(s) + 1e-9, 4) + 0.0 AS sd_population, round(min(s), 6) + 0.0 AS minimum, round(max(s), 6) + 0.0 AS maximum,
+  round(quantile_cont(s, 0.5) + 1e-9, 6) + 0.0 AS p50, round(quantile_cont(s, 0.95) + 1e-9, 6) + 0.0 AS p95 FROM (SELECT DISTINCT * , seconds_per_update AS s FROM runtime_estimates) WHERE {FIN.format('s')} GROUP BY ALL""")(R.timing)
 _T = ", ".join(map(str, R.T_95))
 
 
-@add("timing_t_interval", "runtime_estimates", sql=f"""SELECT condition, n, round(m, 4) + 0.0 AS mean, CASE WHEN n > 1 THEN round(greatest(0.0, m - half), 4) + 0.0 END AS low, CASE WHEN n > 1 THEN round(m + half, 4) + 0.0 END AS high FROM (
+@add("timing_t_interval", "runtime_estimates", sql=f"""SELECT condition, n, round(m + 1e-9, 4) + 0.0 AS mean, CASE WHEN n > 1 THEN round(greatest(0.0, m - half) + 1e-9, 4) + 0.0 END AS low, CASE WHEN n > 1 THEN round(m + half + 1e-9, 4) + 0.0 END AS high FROM (
   SELECT condition, n, m, (CASE WHEN n > 31 THEN 1.96 ELSE ([{_T}])[greatest(1, n - 1)] END)::DOUBLE * sd / sqrt(n) AS half FROM (
     SELECT canonical_condition_id AS condition, count(*) AS n, avg(seconds_per_update) AS m, coalesce(stddev_samp(seconds_per_update), 0) AS sd FROM (SELECT DISTINCT * FROM runtime_estimates) WHERE {FIN.format('seconds_per_update')} GROUP BY ALL))""")
 def timing_t_interval(r):
@@ -234,11 +234,11 @@ def generalisation_gap(e):
     return p.select("condition", R.r6(F.col("train")).alias("train"), R.r6(F.col("valid")).alias("valid"), R.r6(F.col("valid") - F.col("train")).alias("gap"))
 
 
-@add("time_extrapolated", "runtime_estimates", sql=f"SELECT canonical_condition_id AS condition, round(max(s) + avg(s) * (1000 - 1), 3) + 0.0 AS seconds FROM (SELECT DISTINCT *, seconds_per_update AS s FROM runtime_estimates) WHERE {FIN.format('s')} AND s > 0 GROUP BY 1")
+@add("time_extrapolated", "runtime_estimates", sql=f"SELECT canonical_condition_id AS condition, round(max(s) + avg(s) * (1000 - 1) + 1e-9, 3) + 0.0 AS seconds FROM (SELECT DISTINCT *, seconds_per_update AS s FROM runtime_estimates) WHERE {FIN.format('s')} AND s > 0 GROUP BY 1")
 def time_extrapolated(r):
     """The time of 1000 updates: the slowest, as the cold one, and the mean for the others."""
     v = F.col("seconds_per_update")
-    return r.where(R.finite(v) & (v > 0)).dropDuplicates().groupBy(F.col("canonical_condition_id").alias("condition")).agg(R.r6(F.max(v) + F.avg(v) * 999, 3).alias("seconds"))
+    return r.where(R.finite(v) & (v > 0)).dropDuplicates().groupBy(F.col("canonical_condition_id").alias("condition")).agg(R.half_up(F.max(v) + F.avg(v) * 999, 3).alias("seconds"))
 
 
 # ---- the canned curves of the studies: select, project, aggregate over seeds ----
