@@ -144,17 +144,16 @@ def image_convolution(e):
     return _round(T.convolved(_cols(e), filters), 5)
 
 
-@add("attention_weights", "embeddings", sql=V + """, q AS (SELECT label AS example, vec_id AS step, e[1:8] AS q FROM v), h AS (SELECT label AS example, j AS position, list(v ORDER BY i) AS h FROM (SELECT label, j, i, v, row_number() OVER (PARTITION BY label, j ORDER BY i) AS k FROM long JOIN v ON vec_id = i WHERE j < 8) WHERE k <= 8 GROUP BY ALL),
-s AS (SELECT example, step, position, list_dot_product(q, h) AS s FROM q JOIN h USING (example) WHERE len(h) = 8)
+@add("attention_weights", "embeddings", sql=V + """, q AS (SELECT example, step, list(x ORDER BY k) AS q FROM (SELECT label AS example, i AS step, j % 8 AS k, avg(v) AS x FROM long JOIN v ON vec_id = i GROUP BY ALL) GROUP BY ALL),
+h AS (SELECT example, position, list(x ORDER BY k) AS h FROM (SELECT label AS example, j // 8 AS position, j % 8 AS k, avg(v) AS x FROM long JOIN v ON vec_id = i GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT example, step, position, list_dot_product(q, h) AS s FROM q JOIN h USING (example))
 SELECT example, step, position, round(exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w), 6) + 0.0 AS weight FROM s WINDOW w AS (PARTITION BY example, step)""")
 def attention_weights(e):
-    """Every vector asks eight states of its label: the first eight components of the label's first eight vectors, turned round."""
-    from pyspark.sql import Window
-
-    q = _rows(e).select(F.col("label").alias("example"), F.col("vec_id").alias("step"), F.slice("e", 1, 8).alias("q"))
-    first = _rows(e).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("k <= 8")
-    cells = first.select(F.col("label").alias("example"), "k", F.posexplode(F.slice("e", 1, 8)).alias("position", "v"))
-    h = cells.groupBy("example", "position").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda r: r["v"]).alias("h")).where(F.size("h") == 8)
+    """Every vector, as the mean of its eight parts, asks eight states: the parts of its label's mean vector."""
+    cells = _long(e).join(e.select(F.col("vec_id").alias("i"), F.col("label").alias("example")), "i").withColumns({"position": F.expr("j div 8"), "k": F.col("j") % 8})
+    packed = lambda rows, keys: rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]).alias("vec"))
+    q = packed(cells.groupBy("example", F.col("i").alias("step"), "k").agg(F.avg("v").alias("x")), ["example", "step"]).withColumnRenamed("vec", "q")
+    h = packed(cells.groupBy("example", "position", "k").agg(F.avg("v").alias("x")), ["example", "position"]).withColumnRenamed("vec", "h")
     return T.attention(q, h).withColumn("weight", r6(F.col("weight")))
 
 
