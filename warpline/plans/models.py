@@ -212,10 +212,10 @@ def training_classifiers(e):
 
 @add("sampling_negatives", "documents")
 def sampling_negatives(d):
-    """Five negatives of every token's word in the notes, from the powered unigram distribution."""
+    """Five negatives of every token's word in all documents, from their powered unigram distribution."""
     from warpline.operators import corpus as C
 
-    t = C.tokens(d.where("doc_type = 'notes'"))
+    t = C.tokens(d)
     v = C.vocabulary(t)
     dist = C.unigram(v.select("word_id", "n"))
     return S.drawn(C.encoded(t, v), ["doc_id", "pos"], dist, 5, "word_id")
