@@ -3,6 +3,7 @@
 from conftest import rows
 from pyspark.sql import functions as F
 
+from warpline.operators import drift
 from warpline.plans import models
 
 
@@ -12,3 +13,17 @@ def test_negatives_of_all_documents(spark):
     assert rows(got.groupBy("doc_id", "pos", "word_id").agg(F.count("*"))) == {(1, 0, 0, 5), (1, 1, 1, 5), (1, 2, 0, 5), (2, 0, 2, 5), (2, 1, 0, 5), (3, 0, 3, 5)}
     assert got.where("negative = word_id").count() == 0
     assert rows(got.select("negative").distinct()) == {(0,), (1,), (2,), (3,)}
+
+
+def test_union_schema_counts_files_exactly(spark):
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    n = 20_000
+    # every file has id; one of a hundred lacks n; every tenth is delivered twice, and n is then a string
+    text = lambda n: F.when(F.col("id") % 100 == 0, F.lit('{"id": "x"}')).otherwise(F.lit(f'{{"id": "x", "n": {n}}}'))
+    make = lambda ids, n: ids.select(F.col("id").alias("file_id"), F.lit("a").alias("record_kind"), at.alias("written_at"), text(n).alias("payload"))
+    files = make(spark.range(n), "1").unionByName(make(spark.range(0, n, 10), '"1"'))
+    fields = spark.createDataFrame([("a", "id", "string"), ("a", "n", "integer")], "record_kind string, field string, json_type string")
+    seen = {r["path"]: (r["files"], r["json_type"]) for r in drift.union_schema(files).collect()}
+    log = {(r["field"], r["change"]): r["files"] for r in drift.change_log(files, fields).collect()}
+    assert seen == {"id": (n, "string"), "n": (n - n // 100, "any")}
+    assert log["n", "removed"] == n - seen["n"][0] == 200

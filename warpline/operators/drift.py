@@ -187,12 +187,15 @@ def _narrow(files: DataFrame) -> DataFrame:
 def union_schema(files: DataFrame) -> DataFrame:
     """(record_kind, path, json_type, files, first_seen, last_seen): the shapes of all files, folded through the lattice.
 
-    The types seen are a bit mask, so the fold is one commutative aggregation with map-side combine.
+    The types seen are a bit mask, so the fold is one commutative aggregation with map-side combine. ``files`` counts a
+    file once, however often it was delivered: a file's rows of a path are folded first, then the files are counted.
     """
     code = F.create_map(*[F.lit(x) for i, t in enumerate((*TYPES, "any")) for x in (t, 1 << i)])
-    seen = file_shapes(files).groupBy("record_kind", "path").agg(
-        F.bit_or(F.element_at(code, F.col("json_type"))).alias("mask"),
-        F.approx_count_distinct("file_id", 0.02).alias("files"), F.min("written_at").alias("first_seen"), F.max("written_at").alias("last_seen"),
+    once = file_shapes(files).groupBy("record_kind", "path", "file_id").agg(
+        F.bit_or(F.element_at(code, F.col("json_type"))).alias("mask"), F.min("written_at").alias("first_seen"), F.max("written_at").alias("last_seen"),
+    )
+    seen = once.groupBy("record_kind", "path").agg(
+        F.bit_or("mask").alias("mask"), F.count("file_id").alias("files"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
     )
     bare = F.col("mask").bitwiseAND(F.lit(~1))
     kind = F.when(bare == 0, "null").when(bare == 12, "number")
