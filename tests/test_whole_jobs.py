@@ -1,9 +1,11 @@
 """Queries and operators cover all rows they are asked for."""
 
+import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from warpline.operators import drift
+from warpline.operators import drift, spikes
 from warpline.plans import models
 
 
@@ -27,3 +29,38 @@ def test_union_schema_counts_files_exactly(spark):
     log = {(r["field"], r["change"]): r["files"] for r in drift.change_log(files, fields).collect()}
     assert seen == {"id": (n, "string"), "n": (n - n // 100, "any")}
     assert log["n", "removed"] == n - seen["n"][0] == 200
+
+
+def sparse(spark, v, first=0, distance=1000):
+    """Readings on the axis update, with a measure recorded every ``distance`` steps, of a run and of a null run."""
+    e = [(run, "update", "valid", "loss", "nats", first + distance * i, float(x)) for run in ("r", None) for i, x in enumerate(v)]
+    none = spark.createDataFrame([], "run_id string, update_no bigint, loss double, book_loss double")
+    got = rows(spikes.found(none, spark.createDataFrame(e, "run_id string, axis string, split string, metric string, unit string, axis_step bigint, value double")))
+    assert {r[3] for r in got if r[1]} == {r[3] for r in got if not r[1]}
+    return {(r[3] - first) // distance for r in got if r[1]}
+
+
+def run_of(n):
+    return (0.5 + 2 * np.exp(-np.arange(n) / 12)) * (1 + 0.03 * np.random.default_rng(4).normal(size=n))
+
+
+@pytest.mark.parametrize("block, halo", [(65_536, 2_048), (66, 32), (32, 16)])
+def test_stretches_across_borders_of_sparse_steps(spark, monkeypatch, block, halo):
+    v = run_of(134)
+    # six equal readings, three on both sides of step 65,536 and of the 66th reading; a spike near the end
+    v[63:69] = v[63]
+    v[131] *= 4
+    monkeypatch.setattr(spikes, "BLOCK", block)
+    monkeypatch.setattr(spikes, "HALO", halo)
+    assert sparse(spark, v) == {*range(63, 69), 131}
+
+
+def test_sparse_measure_of_a_long_source(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "BLOCK", 64)
+    monkeypatch.setattr(spikes, "HALO", 32)
+    v = run_of(130)
+    v[62:68] = v[62]
+    # the second measure stands in every 50th row only, and all rows are delivered twice
+    u = [("r", i, 0.5 + (i * 7919 % 101) / 1e4, float(v[i // 50]) if i % 50 == 0 else None) for i in range(130 * 50)] * 2
+    got = spikes.found(spark.createDataFrame(u, "run_id string, update_no bigint, loss double, book_loss double"), spark.createDataFrame([], "run_id string, axis string, split string, metric string, unit string, axis_step bigint, value double"))
+    assert {r[3] // 50 for r in rows(got) if r[2] == "book_loss"} == set(range(62, 68))
