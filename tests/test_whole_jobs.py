@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from warpline.operators import drift, spikes
+from warpline.operators import runs as R
 from warpline.plans import models
 
 
@@ -64,3 +65,13 @@ def test_sparse_measure_of_a_long_source(spark, monkeypatch):
     u = [("r", i, 0.5 + (i * 7919 % 101) / 1e4, float(v[i // 50]) if i % 50 == 0 else None) for i in range(130 * 50)] * 2
     got = spikes.found(spark.createDataFrame(u, "run_id string, update_no bigint, loss double, book_loss double"), spark.createDataFrame([], "run_id string, axis string, split string, metric string, unit string, axis_step bigint, value double"))
     assert {r[3] // 50 for r in rows(got) if r[2] == "book_loss"} == set(range(62, 68))
+
+
+def test_roots_of_deep_chains_and_cycles(spark):
+    schema = "run_id string, experiment string, canonical_condition_id string, native_condition_id string, variant string, seed string, status string, lifecycle_stage string, start_time timestamp_ntz, end_time timestamp_ntz, tags map<string,string>, params map<string,string>"
+    parents = {f"r{i}": f"r{i - 1}" if i else None for i in range(50)} | {"a": "b", "b": "c", "c": "a", "below": "a", "self": "self", "gone": "nobody"}
+    make = lambda up: spark.createDataFrame([(i, "e", "A", None, "v", "1", "FINISHED", "active", None, None, {"mlflow.parentRunId": p} if p else {}, {}) for i, p in up.items()], schema)
+    want = {(f"r{i}", "r0", i) for i in range(50)} | {("gone", "gone", 0)}
+    assert rows(R.roots(make(parents))) == want | {(i, None, None) for i in ("a", "b", "c", "below", "self")}
+    assert rows(R.roots(make({"x": "x"}))) == {("x", None, None)} and rows(R.roots(make({"x": None}))) == {("x", "x", 0)}
+    assert R.roots(make({"x": None}).limit(0)).count() == 0

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from warpline.functions.keys import bare_id
 from warpline.functions.numeric import deviation, divided, finite, half_up, r6
+from warpline.session import settled
 
 #: Two-sided 95 % points of Student's t for 1 to 30 degrees of freedom; fixed values.
 T_95 = (
@@ -114,14 +115,23 @@ def protocol_pairs(runs: DataFrame) -> DataFrame:
     return both.withColumn("compatible", compatible(F.col("implemented"), F.col("original")))
 
 
-def roots(runs: DataFrame, doublings: int = 4) -> DataFrame:
-    """(run_id, root, depth): the outermost known ancestor, by doubling the pointers; chains of up to ``2**doublings`` and cycles end."""
+def roots(runs: DataFrame) -> DataFrame:
+    """(run_id, root, depth): the outermost known ancestor, by doubling the pointers until none changes.
+
+    Runs in or below a cycle have no outermost one: there the pointers never rest, so that a depth of the number of runs or
+    more tells them; their root and depth are null. Each round is written to the shared folder.
+    """
     at = attempts(runs).select(bare_id("run_id").alias("id"), "parent")
-    up = at.alias("c").join(at.select(F.col("id").alias("known")), F.col("c.parent") == F.col("known"), "left").select("id", F.coalesce("known", "id").alias("up"), F.col("known").isNotNull().cast("int").alias("depth"))
-    for _ in range(doublings):
+    up = settled(at.alias("c").join(at.select(F.col("id").alias("known")), F.col("c.parent") == F.col("known"), "left").select("id", F.coalesce("known", "id").alias("up"), F.col("known").isNotNull().cast("bigint").alias("depth")))
+    reach, n = 1, up.count()
+    while reach < n:
         nxt = up.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        up = up.join(nxt, "up").select("id", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"))
-    return up.select(F.col("id").alias("run_id"), F.col("up").alias("root"), "depth")
+        rows = settled(up.join(nxt, "up").select("id", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("depth2") > 0).alias("moved")))
+        reach, up = 2 * reach, rows.drop("moved")
+        if rows.where("moved").isEmpty():
+            break
+    ends = F.col("depth") < n
+    return up.select(F.col("id").alias("run_id"), F.when(ends, F.col("up")).alias("root"), F.when(ends, F.col("depth").cast("int")).alias("depth"))
 
 
 def relinks(runs: DataFrame) -> DataFrame:
