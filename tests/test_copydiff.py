@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from conftest import rows
 
 from warpline.operators import copydiff
@@ -45,7 +46,59 @@ def test_empty_sides(spark):
     assert rows(copydiff.differences(*build(spark, [], [], []))) == set()
 
 
-def test_only_differing_ranges_reach_the_leaves(spark):
-    a = spark.createDataFrame([(f"k{i}", "metric", 0, i, i, 1) for i in range(200)], "key string, kind string, part int, x bigint, y bigint, n bigint")
-    b = spark.createDataFrame([(f"k{i}", "metric", 0, i + (i == 77), i, 1) for i in range(200) if i != 5], "key string, kind string, part int, x bigint, y bigint, n bigint")
-    assert rows(copydiff.differing_leaves(a, b)) == {("k77", "metric", 0, True, True), ("k5", "metric", 0, True, False)}
+def test_sets_of_values(spark):
+    nan = float("nan")
+    runs, restored = [("aa", TAG, {}, T0)], lambda ms: [("n", "aa", T0, {}, ms)]
+    m, t = (lambda k, v: ("aa", k, v, 1, 1)), (lambda k, v: (k, v, 1, 1))
+    metrics = [m("more", 1.0), m("more", 2.0), m("less", 2.0), m("close", 1.0), m("close", 2.0), m("close", None), m("null", None), m("both", nan), m("twice", 3.0), m("twice", 3.0)]
+    theirs = [t("more", 2.0), t("less", 1.0), t("less", 2.0), t("close", 2.0), t("close", 1.0 + 1e-9), t("close", nan), t("null", 1.0), t("both", None), t("twice", 4.0), t("twice", 4.0)]
+    got = rows(copydiff.differences(*build(spark, runs, metrics, restored(theirs))))
+    assert {r[2]: r[5] for r in got} == dict.fromkeys(["more", "less", "null", "twice"], "differs") and len(got) == 4
+
+
+def test_equal_ranges_are_not_read_below_the_top(spark, monkeypatch):
+    keys = [f"k{i}" for i in range(300)]
+    runs = [(k, TAG, {"p": k}, T0) for k in keys]
+    metrics = [(k, "m", 1.0 * i, 1, i) for k in keys for i in range(20)]
+    restored = [("n", k, T0, {"p": k}, [("m", 1.0 * i + (k == "k77" and i == 3), 1, i) for i in range(20)]) for k in keys if k != "k5"]
+    runs, metrics, restored = build(spark, runs, metrics, restored)
+    source, target = copydiff.source_side(runs), copydiff.target_side(restored)
+    seen = []
+    read = copydiff.source_readings
+    monkeypatch.setattr(copydiff, "source_readings", lambda m, s: seen.append(read(m, s).count()) or read(m, s))
+    ranges, bits = copydiff.differing_ranges(source, metrics, target)
+    assert seen[0] == 6000 and seen[1] <= 20 * 10  # below the top only what shares a range with a difference
+    monkeypatch.undo()
+    assert ranges.count() == 2 and bits == copydiff.DEEPEST
+    left = copydiff.source_readings(metrics, copydiff.under(source, ranges, bits))
+    assert {r[0] for r in rows(left.select("key"))} == {"k5", "k77"}
+    assert rows(copydiff.differences(runs, metrics, restored)) == {("k77", "metric", "m", 3, 1, "differs"), ("k5", "run", "", -1, -1, "missing_in_target")}
+
+
+def test_wide_ranges_are_split(spark, monkeypatch):
+    monkeypatch.setattr(copydiff, "FAN_BITS", 2)
+    monkeypatch.setattr(copydiff, "RANGE_ROWS", 4)
+    runs = [(f"k{i}", TAG, {}, T0) for i in range(100)]
+    restored = [("n", f"k{i}", T0, {"new": "1"} if i == 7 else {}, []) for i in range(100)]
+    runs, metrics, restored = build(spark, runs, [], restored)
+    ranges, bits = copydiff.differing_ranges(copydiff.source_side(runs), metrics, copydiff.target_side(restored))
+    assert bits == copydiff.DEEPEST and ranges.count() == 1
+    assert rows(copydiff.differences(runs, metrics, restored)) == {("k7", "param", "new", -1, -1, "missing_in_source")}
+
+
+def test_the_shared_folder_is_wanted_on_a_cluster(spark, monkeypatch):
+    from warpline import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session)

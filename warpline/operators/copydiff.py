@@ -1,27 +1,32 @@
 """Differences between two copies of one dataset, found through hierarchical checksums.
 
-Both sides are reduced to leaves: a key's rows of one kind, the rows of a key split over ``PARTS`` leaves
-so that a hot key isn't one task. A leaf has an order-free checksum (two 64-bit xors and a count) over
-exact canonical values. Checksums of a leaf's ancestors, ranges of the keys' 64-bit hash that narrow by
-``FAN_BITS`` a level, are xors of their children; from the widest range down only the children of
-ranges that differ are kept, and only rows under the differing leaves are fetched and compared field by
-field, with the tolerance. Values that are equal only within the tolerance make their leaf differ, which
-costs a comparison and no result.
-
-Defined results: rows repeated exactly count once; of several copies of a key the latest counts (on a tie
-the larger by its values); null and NaN are one value; null keys are left out; empty sides give
-every key of the other side.
+Every item of a key (the run itself, a param, a metric reading) is one digest; a key lies in the range that the
+leading bits of its 64-bit hash name. A range's checksum is order-free and additive: the count, an xor and two sums of
+the digests of its items, as delivered. One aggregation with map-side combine gives the checksums of both sides for
+``2**FAN_BITS`` ranges, whatever the number of rows; ranges that agree are done with. Those that differ are split
+into ``2**FAN_BITS`` narrower ones, for which only rows under a differing range are read on, and so on until
+the differing ranges hold ``RANGE_ROWS`` rows at the mean. These are split once more, to single keys (``DEEPEST`` bits),
+now with each digest counted once. Only rows under ranges that differ still reach the leaf comparison, in
+which values of one item are compared field by field, with the tolerance. Equal checksums mean equal items; repeated
+rows make a wide range differ, values that agree only within the tolerance a narrow one, which costs a comparison
+and no result.
+
+Defined results: rows repeated exactly count once; of several copies of a key the latest counts (on a tie the larger
+by its values); null and NaN are one value; null keys are left out; an item with several values on a side agrees if
+every value of either side has an equal one on the other; empty sides give every key of the other side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warpline.functions.keys import bare_id
-from warpline.session import settled
+from warpline.session import if_small, settled
 
-PARTS, FAN_BITS, LEVELS, TOLERANCE = 8, 4, 5, 1e-6
+FAN_BITS, DEEPEST, RANGE_ROWS, TOLERANCE = 10, 40, 4096, 1e-6
+_ITEM = ["key", "kind", "name", "step", "logged_ms"]
+_OUT = ["original_run_id", "item_kind", "item_name", "step", "logged_ms", "difference"]
 
 
 def _canonical(value: Column) -> Column:
@@ -33,8 +38,9 @@ def _row_hash(name: Column, step: Column, ms: Column, value: Column) -> Column:
     return F.xxhash64(name, step, ms, _canonical(value))
 
 
-def _part(name: Column, step: Column, ms: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(7), name, step, ms), F.lit(PARTS)).cast("int")
+def range_of(key: Column, bits: int) -> Column:
+    """The number of the range of a key among ``2**bits``."""
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
 
 
 def param_text(value: Column) -> Column:
@@ -44,6 +50,24 @@ def param_text(value: Column) -> Column:
     return F.when(n.isNotNull(), F.concat(F.lit("n:"), (n + F.lit(0.0)).cast("string"))).when(F.lower(bare).isin("true", "false"), F.concat(F.lit("b:"), F.lower(bare))).otherwise(F.concat(F.lit("s:"), F.coalesce(bare, F.lit(""))))
 
 
+# ---- digests: n items, the xor of their hashes, the sums of both halves of these ----
+
+
+def _half(h: Column) -> tuple[Column, Column]:
+    return F.shiftright(h, 32).cast("bigint"), h.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _of_array(hashes: Column) -> list[Column]:
+    add = lambda part: F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a + _half(h)[part])
+    return [F.size(hashes).cast("bigint").alias("n"), F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(h)).alias("x"), add(0).alias("hi"), add(1).alias("lo")]
+
+
+def _of_key(params: Column) -> Column:
+    """The hashes of the run itself and of its params."""
+    hashes = F.transform(F.map_entries(params), lambda e: F.xxhash64(e["key"], param_text(e["value"])))
+    return F.concat(F.array(F.lit(1).cast("bigint")), F.coalesce(hashes, F.array().cast("array<bigint>")))
+
+
 def source_side(runs: DataFrame) -> DataFrame:
     """(key, params) of the transferred runs, the latest delivery of each."""
     moved = runs.where(F.col("tags")["transfer.batch"].isNotNull() & F.col("run_id").isNotNull())
@@ -51,99 +75,134 @@ def source_side(runs: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max("r").alias("r")).select("key", F.from_json("r.params", "map<string,string>").alias("params"))
 
 
-def _xor(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+def target_side(restored: DataFrame) -> DataFrame:
+    """(key, which, params, n, x, hi, lo) of the latest restore of each run: small rows, the readings stay where they are.
 
+    ``which`` tells the row of ``restored`` (see ``_which``).
+    """
+    readings = F.transform("metrics", lambda m: _row_hash(m["metric_key"], m["step"], m["logged_ms"], m["value"]))
+    every = F.concat(_of_key(F.col("params")), F.coalesce(F.array_distinct(readings), F.array().cast("array<bigint>")))
+    rows = restored.where(F.col("original_run_id").isNotNull()).select(bare_id("original_run_id").alias("key"), _which().alias("which"), F.to_json("params").alias("params"), every.alias("hashes"))
+    rows = rows.select("key", F.struct("which", "params", *_of_array(F.col("hashes"))).alias("r"))
+    latest = rows.groupBy("key").agg(F.max("r").alias("r"))
+    return latest.select("key", "r.which", F.from_json("r.params", "map<string,string>").alias("params"), *[f"r.{c}" for c in ("n", "x", "hi", "lo")])
 
-def _leaves_of_params(side: DataFrame) -> DataFrame:
-    hashes = F.transform(F.map_entries("params"), lambda e: F.xxhash64(e["key"], param_text(e["value"])))
-    hashes = F.coalesce(hashes, F.array().cast("array<bigint>"))
-    return side.select("key", F.lit("param").alias("kind"), F.lit(0).alias("part"), _xor(hashes).alias("x"), _xor(F.transform(hashes, lambda h: F.xxhash64(h))).alias("y"), F.size(hashes).cast("bigint").alias("n"))
 
+def _which() -> Column:
+    """A restore among those of its run: the later one is larger."""
+    return F.struct("restored_at", F.coalesce("run_id", F.lit("")).alias("run_id"), F.xxhash64(F.to_json("params"), "metrics").alias("content"))
 
-def source_leaves(source: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(key, kind, part, x, y, n): the leaves of the side that stores one row per reading."""
-    name, step, ms = F.col("metric_key"), F.col("step"), F.col("logged_ms")
-    rows = metrics.select(bare_id("run_id").alias("key"), _part(name, step, ms).alias("part"), _row_hash(name, step, ms, F.col("value")).alias("h"))
-    slots = source.select("key", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    distinct = rows.join(slots, ["key", "part"], "left_semi").groupBy("key", "part", "h").agg(F.lit(1).alias("one"))
-    sums = distinct.groupBy("key", "part").agg(F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"), F.count("*").alias("n"))
-    return _leaves_of_params(source).unionByName(sums.select("key", F.lit("metric").alias("kind"), "part", "x", "y", "n"))
 
+# ---- from the widest ranges down ----
+
+
+def source_readings(metrics: DataFrame, source: DataFrame) -> DataFrame:
+    """The readings of the keys of the source, filtered where they are scanned: key, metric_key, step, logged_ms, value."""
+    keys = if_small(source.select("key"))
+    return metrics.select(bare_id("run_id").alias("key"), "metric_key", "step", "logged_ms", "value").join(keys, "key", "left_semi")
 
-def target_side(restored: DataFrame) -> DataFrame:
-    """(key, restored_at, row, leaves) of the latest restore of each run: small rows, the readings stay where they are."""
-    readings = F.coalesce(F.array_distinct(F.transform("metrics", lambda m: F.struct(_part(m["metric_key"], m["step"], m["logged_ms"]).alias("part"), _row_hash(m["metric_key"], m["step"], m["logged_ms"], m["value"]).alias("h")))), F.array().cast("array<struct<part:int,h:bigint>>"))
-    rows = restored.where(F.col("original_run_id").isNotNull()).select(bare_id("original_run_id").alias("key"), "restored_at", "run_id", "params", readings.alias("readings"))
-    of_part = lambda k: F.transform(F.filter("readings", lambda r: r["part"] == k), lambda r: r["h"])
-    leaf = lambda k: F.struct(F.lit(k).alias("part"), _xor(of_part(k)).alias("x"), _xor(F.transform(of_part(k), lambda h: F.xxhash64(h))).alias("y"), F.size(of_part(k)).cast("bigint").alias("n"))
-    rows = rows.select("key", F.struct("restored_at", F.coalesce("run_id", F.lit("")).alias("run_id"), F.to_json("params").alias("params"), F.array(*[leaf(k) for k in range(PARTS)]).alias("leaves")).alias("r"))
-    latest = rows.groupBy("key").agg(F.max("r").alias("r"))
-    return latest.select("key", F.col("r.restored_at").alias("restored_at"), F.col("r.run_id").alias("row"), F.from_json("r.params", "map<string,string>").alias("params"), F.col("r.leaves").alias("leaves"))
 
+def under(rows: DataFrame, ranges: DataFrame | None, bits: int) -> DataFrame:
+    """The rows (key, ...) under the given ranges; all rows for none."""
+    if ranges is None:
+        return rows
+    return rows.withColumn("range", range_of(F.col("key"), bits)).join(if_small(ranges.select("range")), "range", "left_semi").drop("range")
 
-def target_leaves(target: DataFrame) -> DataFrame:
-    sums = target.select("key", F.inline("leaves")).where("n > 0").select("key", F.lit("metric").alias("kind"), "part", "x", "y", "n")
-    return _leaves_of_params(target).unionByName(sums)
+
+def _differing(source: DataFrame, readings: DataFrame, target: DataFrame, bits: int, once: bool) -> DataFrame:
+    """(range, rows) of the ranges whose checksums differ. ``once``: readings repeated exactly count once, as they do in the target."""
+    digests = ["n", "x", "hi", "lo"]
+    within = range_of(F.col("key"), bits).alias("range")
+    single = readings.select(within, _row_hash(F.col("metric_key"), F.col("step"), F.col("logged_ms"), F.col("value")).alias("x"))
+    single = single.distinct() if once else single
+    single = single.select("range", F.lit(1).cast("bigint").alias("n"), "x", _half(F.col("x"))[0].alias("hi"), _half(F.col("x"))[1].alias("lo"))
+    ours = source.select(within, *_of_array(_of_key(F.col("params"))))
+    theirs = target.select(within, F.col("n").alias("rows"), *[(F.col(c) if c == "x" else -F.col(c)).alias(c) for c in digests])
+    rows = ours.unionByName(single).withColumn("rows", F.col("n")).unionByName(theirs)
+    sums = rows.groupBy("range").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("hi").alias("hi"), F.sum("lo").alias("lo"), F.sum("rows").alias("rows"))
+    return sums.where((F.col("n") != 0) | (F.col("x") != 0) | (F.col("hi") != 0) | (F.col("lo") != 0)).select("range", "rows")
+
+
+def differing_ranges(source: DataFrame, metrics: DataFrame, target: DataFrame) -> tuple[DataFrame, int]:
+    """The narrowest ranges that differ, and the number of bits that name them.
+
+    Of each level only the number of differing ranges and of the rows under them come to the driver.
+    """
+    live, bits = None, 0
+    while True:
+        parts = [under(df, live, bits) for df in (source, target)]
+        last = live is not None and (rows <= RANGE_ROWS * ranges or bits + FAN_BITS >= DEEPEST)  # noqa: F821
+        bits = DEEPEST if last else bits + FAN_BITS
+        live = settled(_differing(parts[0], source_readings(metrics, parts[0]), parts[1], bits, once=last))
+        if last:
+            return live, bits
+        ranges, rows = live.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        if not ranges:
+            return live, bits
+
+
+# ---- leaves ----
+
+
+def _items(side: DataFrame, readings: DataFrame, which: int) -> DataFrame:
+    """(items, text, v, side): one row per value."""
+    none, text = F.lit(-1).cast("bigint"), F.lit(None).cast("string")
+    no = F.lit(None).cast("double")
+    runs = side.select("key", F.lit("run").alias("kind"), F.lit("").alias("name"), none.alias("step"), none.alias("logged_ms"), text.alias("text"), no.alias("v"))
+    params = side.select("key", F.explode("params").alias("name", "p")).select("key", F.lit("param").alias("kind"), "name", none.alias("step"), none.alias("logged_ms"), param_text(F.col("p")).alias("text"), no.alias("v"))
+    values = readings.select("key", F.lit("metric").alias("kind"), F.col("metric_key").alias("name"), "step", "logged_ms", text.alias("text"), _canonical(F.col("value")).alias("v"))
+    return runs.unionByName(params).unionByName(values).withColumn("side", F.lit(which))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Whether two values differ by more than the tolerance; nulls are one value."""
+    endless = (F.abs(a) == float("inf")) | (F.abs(b) == float("inf"))
+    far = (a != b) & (endless | ~(F.abs(a - b) <= TOLERANCE * F.greatest(F.abs(a), F.abs(b))))
+    return F.when(a.isNull() | b.isNull(), a.isNull() != b.isNull()).otherwise(far)
+
+
+def _lone(values: DataFrame) -> DataFrame:
+    """The items with several values of which one has no equal on the other side: the nearest values of that are looked at.
+
+    ``values``: items, text, v, sides (1, 2 or 3 for both).
+    """
+    w = Window.partitionBy(*_ITEM).orderBy("v", "text")
+    here = lambda bit: F.col("sides").bitwiseAND(F.lit(bit)) > 0
+    held = F.struct("v", "text")
+    near = {f"{d}{bit}": F.last(F.when(here(bit), held), ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0)) for bit in (1, 2) for d, o in (("b", w), ("a", Window.partitionBy(*_ITEM).orderBy(F.desc("v"), F.desc("text"))))}
+    other = lambda d: F.when(F.col("sides") == 1, F.col(f"{d}2")).otherwise(F.col(f"{d}1"))
+    unlike = lambda o: o.isNull() | (F.col("kind") == "param") | _apart(F.col("v"), o["v"])
+    return values.withColumns(near).where((F.col("sides") != 3) & unlike(other("a")) & unlike(other("b"))).select(*_ITEM).distinct()
 
 
-def differing_leaves(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(key, kind, part, in_a, in_b): the leaves under ranges of the key hash whose checksums differ.
+def compared(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(items, difference) of two sets of items (see ``_items``).
 
-    From the whole range down, each level keeps only the children of the ranges that differ.
+    Copies and equal values meet in the first aggregation, before rows of one item do, so a hot item is none.
     """
-    both = a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(2)))
-    net = F.sum(F.when(F.col("s") == 1, F.col("n")).otherwise(-F.col("n")))
-    leaves = both.groupBy("key", "kind", "part").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), net.alias("n"), F.bit_or("s").alias("sides"))
-    leaves = settled(leaves.withColumn("node", F.shiftrightunsigned(F.xxhash64("key"), 64 - FAN_BITS * LEVELS)))
-    # a range's checksum is the xor of its children's: every level is rolled up from the one below it
-    odd = (F.col("n") != 0) | (F.col("sides") != 3)
-    ranges = [settled(leaves.groupBy("node").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max(odd.cast("int")).alias("odd")))]
-    for _ in range(LEVELS - 1):
-        up = ranges[0].groupBy(F.shiftrightunsigned("node", FAN_BITS).alias("node"))
-        ranges.insert(0, up.agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max("odd").alias("odd")))
-    live = None
-    for level in ranges:
-        differs = level.where((F.col("x") != 0) | (F.col("y") != 0) | (F.col("odd") != 0)).select("node")
-        if live is not None:
-            parent = live.withColumnRenamed("node", "parent")
-            differs = differs.withColumn("parent", F.shiftrightunsigned("node", FAN_BITS)).join(parent, "parent", "left_semi").select("node")
-        live = differs
-    under = leaves.join(live, "node", "left_semi").where((F.col("x") != 0) | (F.col("y") != 0) | odd)
-    return under.select("key", "kind", "part", (F.col("sides").bitwiseAND(F.lit(1)) > 0).alias("in_a"), (F.col("sides").bitwiseAND(F.lit(2)) > 0).alias("in_b"))
+    values = ours.unionByName(theirs).groupBy(*_ITEM, "text", "v").agg(F.bit_or("side").alias("sides"))
+    of = lambda bit, f: f(F.when(F.col("sides").bitwiseAND(F.lit(bit)) > 0, F.struct("v", "text")))
+    alone = F.count(F.when(F.col("sides") != 3, 1))
+    sets = values.groupBy(*_ITEM).agg(F.bit_or("sides").alias("sides"), alone.alias("alone"), *[of(bit, f).alias(f"{n}{bit}") for bit in (1, 2) for n, f in (("least", F.min), ("most", F.max))])
+    verdict = F.when(F.col("sides") == 1, "missing_in_target").when(F.col("sides") == 2, "missing_in_source").otherwise("differs")
+    single = (F.col("least1") == F.col("most1")) & (F.col("least2") == F.col("most2"))
+    unlike = (F.col("kind") != "metric") | _apart(F.col("least1.v"), F.col("least2.v"))
+    sure = sets.where((F.col("sides") != 3) | ((F.col("alone") > 0) & single & unlike)).select(*_ITEM, verdict.alias("difference"))
+    several = sets.where((F.col("sides") == 3) & (F.col("alone") > 0) & ~single).select(*_ITEM)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in _ITEM]
+    lone = _lone(values.alias("l").join(several.alias("r"), same, "left_semi"))
+    return sure.unionByName(lone.withColumn("difference", F.lit("differs")))
 
 
 def differences(runs: DataFrame, metrics: DataFrame, restored: DataFrame) -> DataFrame:
     """(original_run_id, item_kind, item_name, step, logged_ms, difference) of the transferred runs against the restored."""
     source, target = settled(source_side(runs)), settled(target_side(restored))
-    none, out = F.lit(-1).cast("bigint"), "original_run_id item_kind item_name step logged_ms difference".split()
-    whole = source.select("key", F.lit(1).alias("a")).join(target.select("key", F.lit(1).alias("b")), "key", "full_outer")
-    absent = whole.where("a is null or b is null").select(F.col("key").alias("original_run_id"), F.lit("run").alias("item_kind"), F.lit("").alias("item_name"), none.alias("step"), none.alias("logged_ms"), F.when(F.col("b").isNull(), "missing_in_target").otherwise("missing_in_source").alias("difference"))
-    on_both = settled(whole.where("a is not null and b is not null").select("key"))
-    source, target = source.join(on_both, "key", "left_semi"), target.join(on_both, "key", "left_semi")
-    leaves = settled(differing_leaves(source_leaves(source, metrics), target_leaves(target)))
-    verdict = F.when(F.col("b").isNull(), "missing_in_target").when(F.col("a").isNull(), "missing_in_source").otherwise("differs")
-
-    keys = leaves.where("kind = 'param'").select("key")
-    items = lambda side, n: side.join(keys, "key", "left_semi").select("key", F.explode("params").alias("item_name", "v")).select("key", "item_name", param_text(F.col("v")).alias(f"t{n}"), F.lit(1).alias(n))
-    p = items(source, "a").join(items(target, "b"), ["key", "item_name"], "full_outer").where("a is null or b is null or ta <> tb")
-    p = p.select(F.col("key").alias("original_run_id"), F.lit("param").alias("item_kind"), "item_name", none.alias("step"), none.alias("logged_ms"), verdict.alias("difference"))
-
-    parts = leaves.where("kind = 'metric'").select("key", "part")
-    named = ["key", "metric_key", "step", "logged_ms"]
-    name, step, ms = F.col("metric_key"), F.col("step"), F.col("logged_ms")
-    ours = metrics.select(bare_id("run_id").alias("key"), _part(name, step, ms).alias("part"), "metric_key", "step", "logged_ms", "value").join(parts, ["key", "part"], "left_semi")
-    latest = target.join(parts.select("key").distinct(), "key", "left_semi").select("key", "restored_at", F.col("row").alias("row"))
-    theirs = restored.select(bare_id("original_run_id").alias("key"), "restored_at", F.coalesce("run_id", F.lit("")).alias("row"), "metrics").join(latest, ["key", "restored_at", "row"], "left_semi")
-    theirs = theirs.select("key", F.inline("metrics")).withColumn("part", _part(name, step, ms)).join(parts, ["key", "part"], "left_semi")
-    # (value of one side for a key: copies are exact, so any of them does)
-    one = lambda df, n: df.groupBy("part", *named).agg(F.max(F.struct(F.lit(1), _canonical(F.col("value")).alias("v"))).alias(n))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in ("part", *named)]
-    m = one(ours, "a").alias("l").join(one(theirs, "b").alias("r"), same, "full_outer")
-    va, vb = F.col("a.v"), F.col("b.v")
-    far = (va.isNull() != vb.isNull()) | F.coalesce((va != vb) & ~(F.abs(va - vb) <= TOLERANCE * F.greatest(F.abs(va), F.abs(vb))), F.lit(False))
-    endless = F.coalesce((F.abs(va) == float("inf")) | (F.abs(vb) == float("inf")), F.lit(False)) & (va != vb)
-    m = m.where(F.col("a").isNull() | F.col("b").isNull() | far | F.coalesce(endless, F.lit(False)))
-    pick = lambda k: F.coalesce(F.col(f"l.{k}"), F.col(f"r.{k}"))
-    m = m.select(pick("key").alias("original_run_id"), F.lit("metric").alias("item_kind"), pick("metric_key").alias("item_name"), pick("step").alias("step"), pick("logged_ms").alias("logged_ms"), verdict.alias("difference"))
-    return absent.select(out).unionByName(p.select(out)).unionByName(m.select(out))
+    ranges, bits = differing_ranges(source, metrics, target)
+    source, target = under(source, ranges, bits), under(target, ranges, bits)
+    rows = restored.select(bare_id("original_run_id").alias("key"), _which().alias("which"), "metrics")
+    theirs = under(rows, ranges, bits).join(target.select("key", "which"), ["key", "which"], "left_semi").select("key", F.inline("metrics"))
+    found = compared(_items(source, source_readings(metrics, source), 1), _items(target, theirs, 2))
+    # nothing but its absence is listed for a run that one side lacks
+    there = source.select("key").join(target.select("key", F.lit(True).alias("there")), "key")
+    found = found.join(there, "key", "left").where("kind = 'run' or there")
+    return found.select(*[F.col(c).alias(n) for c, n in zip([*_ITEM, "difference"], _OUT, strict=True)])

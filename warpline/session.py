@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_SETTLED = "warpline-settled-"
+#: Narrow rows that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
@@ -26,10 +33,16 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that outlives executors: the cluster's setting, or one made here when it has none."""
+    """The folder that outlives executors: the cluster's setting, or in local mode one made here, which goes with the process.
+
+    On a cluster without the setting this raises, as a folder of one machine isn't seen by the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="warpline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -39,6 +52,23 @@ def settled(df: DataFrame) -> DataFrame:
 
     It cuts the lineage like ``checkpoint()`` but keeps the columns compressed and lets later readers prune them.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/warpline-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{_SETTLED}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unsettle(spark: SparkSession) -> None:
+    """Remove what ``settled`` wrote to the shared folder, from all sessions, once no result that reads it is wanted any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.globStatus(jvm.org.apache.hadoop.fs.Path(path, f"{_SETTLED}*")) or []:
+        files.delete(status.getPath(), True)
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, of narrow rows, to be broadcast if it has at most ``rows`` rows; else joins choose for themselves.
+
+    The count must be cheap: give a settled table or columns of one.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
