@@ -9,7 +9,9 @@ The percentile q of n values is the value at rank ``floor(q * (n - 1))`` of the
 located among the buckets and returned with the relative error a.
 
 Defined results: null, NaN and infinite values aren't counted; a group without a finite value has no row;
-a null group is a group; ties fall in one bucket; subnormal values count as zero.
+a null group is a group; ties fall in one bucket; subnormal values count as zero. Rows count as often as they are
+delivered: a sketch can't tell copies apart, and sketches of separate days only add up if none of them tries to.
+Where copies must count once, they are dropped before (``without_copies``), at the price of a shuffle of the rows.
 """
 
 from __future__ import annotations
@@ -80,16 +82,9 @@ _GROUP = ["source_table", "canonical_condition_id", "metric"]
 
 
 def run_store_sketch(runtime_estimates: DataFrame, evaluations: DataFrame) -> DataFrame:
-    """One sketch of runtime_estimates.seconds_per_update and of evaluations.value per metric, each exact copy counted once.
-
-    Copies are told apart by their key and value; their rows are counted after the values became buckets.
-    """
-    r = runtime_estimates.where(usable(F.col("seconds_per_update"))).select("estimate_id", "canonical_condition_id", "seconds_per_update", "measured_at", "device")
-    e = evaluations.where(usable(F.col("value")))
-    cell = lambda t, metric, v: [F.lit(t).alias("source_table"), "canonical_condition_id", metric.alias("metric"), F.col(v).alias("value")]
-    r = without_copies(r, ["estimate_id", "measured_at", "device", "seconds_per_update"], cell("runtime_estimates", F.lit("seconds_per_update"), "seconds_per_update"))
-    e = without_copies(e, ["run_id", "axis", "axis_step", "evaluation_set_id", "split", "unit", "metric", "value", "received_at"], cell("evaluations", F.col("metric"), "value"))
-    return combined([sketch(x, _GROUP, "value") for x in (r, e)], _GROUP)
+    """One sketch of runtime_estimates.seconds_per_update and of evaluations.value per metric, over all finite values."""
+    of = lambda t, rows, metric, v: sketch(rows.select(F.lit(t).alias("source_table"), "canonical_condition_id", metric.alias("metric"), F.col(v).alias("value")), _GROUP, "value")
+    return of("runtime_estimates", runtime_estimates, F.lit("seconds_per_update"), "seconds_per_update").unionByName(of("evaluations", evaluations, F.col("metric"), "value"))
 
 
 def run_store_percentiles(runtime_estimates: DataFrame, evaluations: DataFrame) -> DataFrame:
