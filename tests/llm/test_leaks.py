@@ -91,3 +91,80 @@ def test_query(spark, monkeypatch):
     monkeypatch.setattr(L, "TOKENS_AT_ONCE", 50)
     assert rows(L.leaks(d, items)) == want
     assert L.leaks(d.limit(0), items).count() == 0 and L.leaks(d, items.limit(0)).count() == 0
+
+
+def random_corpus(seed):
+    """Items that share phrases, and texts that quote them whole, in part, changed, repeated, moved, or not."""
+    rng = random.Random(seed)
+    shared = [passage(1000 + k, 6) for k in range(4)]
+    items = []
+    for k in range(40):
+        words = passage(seed * 100 + k, rng.choice([3, 8, 20, 40, 90]))
+        at = rng.randrange(len(words))
+        items.append((k, " ".join(words[:at] + rng.choice(shared) + words[at:])))
+    texts = []
+    for _ in range(60):
+        words = passage(rng.random(), 80)
+        for _ in range(rng.randrange(4)):
+            item = items[rng.randrange(40)][1].split()
+            a, n = rng.randrange(len(item)), rng.choice([3, 6, 12, 30, 99])
+            part = [w if rng.random() > 0.12 else "other" for w in item[a : a + n]] * rng.choice([1, 1, 3])
+            at = rng.randrange(len(words))
+            words[at:at] = part + rng.choice(shared) * rng.randrange(3)
+        texts.append(" ".join(words))
+    return texts, items
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bounds_and_limits_lose_nothing_against_brute_force(seed, monkeypatch):
+    texts, items = random_corpus(seed)
+    got = held(texts, items)
+    monkeypatch.setattr(L, "HITS_AT_ONCE", 50)
+    assert held(texts, items) == got and len(got) > 20
+    monkeypatch.setattr(L, "most_covered", lambda group, place, seed: L.np.full(len(set(group.tolist())), 10**9))
+    monkeypatch.setattr(L, "_possible", lambda items, docs, *rest: tuple(L.np.array(c) for c in zip(*[(d, k) for d in sorted(set(docs.tolist())) for k in range(len(items.ids))], strict=True)))
+    assert held(texts, items) == got
+
+
+def test_equal_matches_are_capped_without_a_loss():
+    rng = L.np.random.default_rng(1)
+    for _ in range(60):
+        item = rng.integers(2, 6, 14)
+        doc = rng.integers(2, 6, 400)
+        pairs = [(b, a) for a in range(12) for b in range(398) if (item[a : a + 3] == doc[b : b + 3]).all()]
+        if not pairs:
+            continue
+        d, i = L.np.array(pairs).T
+        got = L.tiles(d, i, 3, 14)
+        assert sorted(got) == sorted(uncapped(d, i, 3, 14))
+
+
+def uncapped(d, i, seed, length):
+    """Greedy string tiling by its definition."""
+    pairs, out, used_item, used_doc = set(zip(i.tolist(), d.tolist(), strict=True)), [], set(), set()
+    single = {(a + k, b + k) for a, b in pairs for k in range(seed)}
+    while True:
+        best = None
+        for a, b in sorted(single):
+            n = 0
+            while (a + n, b + n) in single and a + n not in used_item and b + n not in used_doc:
+                n += 1
+            if n >= seed and (best is None or n > best[2]):
+                best = (a, b, n)
+        if best is None:
+            return out
+        out.append(best)
+        used_item |= set(range(best[0], best[0] + best[2]))
+        used_doc |= set(range(best[1], best[1] + best[2]))
+
+
+def test_a_phrase_of_many_items_repeated_in_a_text_ends_soon():
+    import time
+
+    phrase = ["all", "rights", "reserved"]
+    items = [(k, " ".join(passage(k, 15) + phrase + passage(k + 10**6, 15))) for k in range(5000)]
+    index = L.Items(items)
+    start = time.perf_counter()
+    texts = [phrase * 4000, phrase * 2000 + items[77][1].split() + phrase * 2000]
+    assert [(d, index.ids[i]) for d, i in L.held_items(texts, index)] == [(1, 77)]
+    assert time.perf_counter() - start < 20

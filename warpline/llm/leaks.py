@@ -7,9 +7,15 @@ windows of ``SEED`` tokens (``SEED_SIGNS`` within such scripts) are joined with
 places with shared seeds are looked at further. Within a place (seeds no more than ``APART`` tokens apart),
 the longest match between item and document is marked, then the longest among what is left, down to a seed's length,
 so moved passages are found piece by piece. The tiles that follow each other in the item's order are
-chained, small gaps between neighbours of the chain are filled by their longest common subsequence (changed
+chained, gaps of at most ``GAP`` tokens of the item between neighbours of the chain, and ``END`` tokens before its first
+and after its last tile, are filled by what they have in common in order with the document's tokens there (changed
 words break tiles), and a document holds an item when the chain covers ``COVERAGE`` of its tokens.
 
+Seeds that many items share or that one text repeats don't cost more than they can bring: documents and items meet
+first by distinct seeds. A pair is dropped where even the most that a chain could cover, by a proven bound (see
+``most_covered``), is too little; only the others' hits are laid out, ``HITS_AT_ONCE`` at a time, and of equal matches no
+more than can be of use are tiled.
+
 The items are the stated query set. They are worked through in blocks of ``ITEMS_AT_ONCE``, each of
 which is sent to the executors, while all documents stream past; documents aren't shuffled.
 
@@ -32,8 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED, SEED_SIGNS, APART, COVERAGE = 3, 5, 120, 0.42
+GAP, END, END_AROUND = 12, 6, 10
 ITEMS_AT_ONCE = 20_000
 TOKENS_AT_ONCE = 400_000
+HITS_AT_ONCE = 2_000_000
 _SIGN = "぀-ヿ㐀-鿿豈-﫿"
 _TOKEN = re.compile(rf"[{_SIGN}]|[^\W_{_SIGN}]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&[a-z]{2,6};")
@@ -86,6 +94,9 @@ class Items:
         self.as_mask[_ANY_NUMBER] = True
         if "n" in self.vocabulary:
             self.as_mask[self.vocabulary["n"]] = True
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.joined = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int64)
         self.tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         grouped: dict[tuple[int, bool], list] = defaultdict(list)
         for k, text in enumerate(self.texts):
@@ -117,7 +128,16 @@ def tiles(doc_at: np.ndarray, item_at: np.ndarray, seed: int, length: int) -> li
     order = np.lexsort((doc_at, doc_at - item_at))
     d, i = doc_at[order], item_at[order]
     cut = np.flatnonzero(np.r_[True, (np.diff(d - i) != 0) | (np.diff(d) != 1)])
-    heap = [(-(int(e - c) + seed - 1), int(i[c]), int(d[c])) for c, e in zip(cut, [*cut[1:], len(d)], strict=True)]
+    n, a, b = np.diff(np.r_[cut, len(d)]) + seed - 1, i[cut], d[cut]
+    # equal matches are tried from the first on; the tiles, which take at most the item's tokens, block fewer than these
+    most = 2 * length // seed + 2
+    if len(n) > most:
+        order = np.lexsort((b, a, n))
+        new = np.r_[True, (np.diff(n[order]) != 0) | (np.diff(a[order]) != 0)]
+        first = np.flatnonzero(new)
+        use = order[np.arange(len(order)) - first[np.cumsum(new) - 1] < most]
+        n, a, b = n[use], a[use], b[use]
+    heap = list(zip((-n).tolist(), a.tolist(), b.tolist(), strict=True))
     heapq.heapify(heap)
     in_item, in_doc, out = bytearray(length), set(), []
     while heap:
@@ -165,19 +185,72 @@ def chained(found: list[tuple[int, int, int]], item: np.ndarray, doc: np.ndarray
     while back[k] >= 0:
         j = back[k]
         x, y = item[a[j] + n[j] : a[k]], doc[b[j] + n[j] : b[k]]
-        if 0 < len(x) <= 12 and 0 < len(y) <= 2 * len(x) + 6:
+        if 0 < len(x) <= GAP and 0 < len(y) <= 2 * len(x) + 6:
             total += _common(x, y)
         k = j
     # what stands right before the chain and right after it
-    for x, y in ((item[max(0, a[k] - 6) : a[k]], doc[max(0, b[k] - 10) : b[k]]), (item[a[first] + n[first] :][:6], doc[b[first] + n[first] :][:10])):
+    for x, y in ((item[max(0, a[k] - END) : a[k]], doc[max(0, b[k] - END_AROUND) : b[k]]), (item[a[first] + n[first] :][:END], doc[b[first] + n[first] :][:END_AROUND])):
         total += _common(x, y) if len(x) and len(y) else 0
     return total
 
 
+def most_covered(group: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """The most tokens that a chain can cover, of each group of distinct seed places (sorted by group, place).
+
+    Tiles lie within the seeds' windows. A gap that is filled with other tokens lies between two stretches of windows, no
+    two filled gaps share such a space, and none is longer than ``GAP``; ``END`` more can follow on either side.
+    """
+    new = np.r_[True, np.diff(group) != 0]
+    apart = np.r_[0, np.diff(place)]
+    within = np.where(new, seed, np.minimum(apart, seed)) + np.where(new, 2 * END, np.clip(apart - seed, 0, GAP))
+    return np.bincount(np.cumsum(new) - 1, within).astype(np.int64)
+
+
+def _laid_out(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers lo, lo + 1, ... of each row, n of them."""
+    ends = np.cumsum(n)
+    return np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _stretches(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, first, end) of the stretches of equal values."""
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(sorted_values)), bool), np.diff(sorted_values) != 0])
+    return sorted_values[first], first, np.r_[first[1:], len(sorted_values)][: len(first)]
+
+
+def _possible(items: Items, docs: np.ndarray, h: np.ndarray, stream: np.ndarray, start: np.ndarray, lengths: np.ndarray, key: tuple[int, bool]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, item) of the pairs that may be a case: by their distinct seeds, and by the tokens that they share at all."""
+    table, item_of, place_of = items.tables[key]
+    order = np.lexsort((h, docs))
+    once = order[np.r_[True, (np.diff(docs[order]) != 0) | (h[order][1:] != h[order][:-1])]]
+    lo, hi = np.searchsorted(table, h[once], "left"), np.searchsorted(table, h[once], "right")
+    at = _laid_out(lo, hi - lo)
+    d, k, p = np.repeat(docs[once], hi - lo), item_of[at], place_of[at]
+    order = np.lexsort((p, k, d))
+    d, k, p = d[order], k[order], p[order]
+    new = np.r_[True, (np.diff(d) != 0) | (np.diff(k) != 0)]
+    covered = most_covered(np.cumsum(new), p, key[0])
+    d, k = d[new], k[new]
+    wanted = np.ceil(COVERAGE * items.lengths[k] - 1e-9)
+    d, k = d[covered >= wanted], k[covered >= wanted]
+    keep = np.zeros(len(d), bool)
+    there = np.zeros(len(items.is_number), bool)
+    for doc, first, last in zip(*_stretches(d), strict=True):
+        own, of = stream[start[doc] : start[doc] + lengths[doc]], k[first:last]
+        there[own] = True
+        there[_UNKNOWN] = False
+        tokens_at = _laid_out(items.starts[of], items.lengths[of])
+        shared = np.add.reduceat(there[items.joined[tokens_at]].astype(np.int64), np.r_[0, np.cumsum(items.lengths[of])[:-1]])
+        keep[first:last] = shared >= np.ceil(COVERAGE * items.lengths[of] - 1e-9)
+        there[own] = False
+    return d[keep], k[keep]
+
+
 def held_items(texts: list[list[str]], items: Items) -> list[tuple[int, int]]:
     """(number of text, number of item) of the items that the texts hold, for texts given as tokens."""
     coded = [items.coded(w) for w in texts]
-    lengths = np.array([len(c) for c in coded])
+    lengths = np.array([len(c) for c in coded], np.int64)
+    start = np.cumsum(lengths + 1) - lengths - 1
     ids = np.concatenate([np.r_[c, _UNKNOWN] for c in coded]) if coded else np.zeros(0, np.int64)
     doc_of = np.repeat(np.arange(len(coded)), lengths + 1)
     masked_ids = np.where(items.as_mask[ids], _ANY_NUMBER, ids)
@@ -193,32 +266,48 @@ def held_items(texts: list[list[str]], items: Items) -> list[tuple[int, int]]:
         at = np.flatnonzero(all_known)
         h = hashes(stream, seed)[at]
         lo, hi = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        at, h, lo, n = at[hi > lo], h[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
         if not len(at):
             continue
-        ends = np.cumsum(n)
-        hit = np.repeat(lo - (ends - n), n) + np.arange(ends[-1])
-        where = np.repeat(at, n)
-        item, place = item_of[hit], place_of[hit]
-        doc = doc_of[where]
+        d, k = _possible(items, doc_of[at], h, stream, start, lengths, (seed, masked))
+        pairs = np.sort(d * len(items.ids) + k)
+        if not len(pairs):
+            continue
+        live = np.isin(doc_of[at], d)
+        at, lo, n = at[live], lo[live], n[live]
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        cut = np.flatnonzero(np.diff(np.cumsum(n) // HITS_AT_ONCE)) + 1
+        for part in np.split(np.arange(len(at)), cut):
+            hit = _laid_out(lo[part], n[part])
+            where = np.repeat(at[part], n[part])
+            pair = doc_of[where] * len(items.ids) + item_of[hit]
+            i = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+            use = pairs[i] == pair
+            hits.append((pair[use], where[use], place_of[hit[use]]))
+        pair, where, place = (np.concatenate(c) for c in zip(*hits, strict=True))
         # places: seeds of one item in one document, no more than APART apart
-        order = np.lexsort((where, item, doc))
-        where, item, place, doc = where[order], item[order], place[order], doc[order]
-        cut = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(where) > APART)])
-        sizes = np.diff(np.r_[cut, len(where)])
-        length = np.array([len(t) for t in items.texts])[item[cut]]
-        for c, size, k, d, m in zip(cut, sizes, item[cut], doc[cut], length, strict=True):
-            # even with a tenth of the words changed, and a number before every line, a part large enough has this many seeds
-            if size < 0.06 * m or (int(d), int(k)) in out:
+        order = np.lexsort((where, pair))
+        pair, where, place = pair[order], where[order], place[order]
+        new = np.r_[True, (np.diff(pair) != 0) | (np.diff(where) > APART)]
+        spot = np.cumsum(new) - 1
+        by_place = np.lexsort((place, spot))
+        s, p = spot[by_place], place[by_place]
+        once = np.r_[True, (np.diff(s) != 0) | (np.diff(p) != 0)]
+        most = most_covered(s[once], p[once], seed)
+        cut = np.flatnonzero(new)
+        doc, item = np.divmod(pair[cut], len(items.ids))
+        able = most >= np.ceil(COVERAGE * items.lengths[item] - 1e-9)
+        ends = np.r_[cut[1:], len(where)]
+        for c, e, i, d in zip(cut[able].tolist(), ends[able].tolist(), item[able].tolist(), doc[able].tolist(), strict=True):
+            if (d, i) in out:
                 continue
-            w, p = where[c : c + size], place[c : c + size]
-            text = items.texts[k]
+            w, p = where[c:e], place[c:e]
+            text = items.texts[i]
             covered = tiles(w, p, seed, len(text))
             low = max(0, int(w.min()) - 16)
             local = stream[low : int(w.max()) + seed + 16]
             if chained([(a, b - low, n) for a, b, n in covered], text, local) >= COVERAGE * len(text):
-                out.add((int(d), int(k)))
+                out.add((d, i))
     return sorted(out)
 
 
