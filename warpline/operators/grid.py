@@ -7,11 +7,15 @@ series, so no task ever holds a whole series. A missing slot gets the regression
 residual interpolated between the observed slots at both ends of its gap, so filled stretches meet the
 readings.
 
+The trend is measured from the series' first block and centred, so large slot numbers lose no digits. All coefficients
+but the constant have a prior at zero for series of any length, which weighs ``(PARAMETERS / slots) ** FADE`` of the
+readings: much for fewer slots than coefficients, where nearly the straight line between the gap's ends is left, and
+next to nothing for many.
+
 Defined results: null, NaN and infinite readings and readings without a step or a positive ``every``
-don't count; a series with fewer than two slots has no gap; repeated rows change nothing but the mean
-of their slot; slots outside the first and last usable reading aren't produced; a null key part is a
-key like any other. Series of fewer than ``2 * PARAMETERS`` slots get a constant instead of the
-regression, which leaves the straight line between the gap's ends.
+don't count, nor do those of runs that the run table lacks (their grid is unknown); a series with fewer than two slots has
+no gap; repeated rows change nothing but the mean of their slot; slots outside the first and last usable reading
+aren't produced; a null key part is a key like any other; a condition that stands twice counts with the largest of its steps.
 """
 
 from __future__ import annotations
@@ -25,15 +29,20 @@ from pyspark.sql import functions as F
 
 from warpline.functions.keys import bare_id, usable
 
-PERIOD, HARMONICS, BLOCK = 12, 2, 4096
+PERIOD, HARMONICS, BLOCK, FADE, SLOTS_AT_ONCE = 12, 2, 4096, 6, 4096
 PARAMETERS = 2 + 2 * HARMONICS
 KEY = ["source", "run_id", "series", "every"]
 _PAIRS = [(i, j) for i in range(PARAMETERS) for j in range(i, PARAMETERS)]
 
 
-def _terms(slot: Column) -> list[Column]:
-    phase = [slot % PERIOD * (2 * math.pi * h / PERIOD) for h in range(1, HARMONICS + 1)]
-    return [F.lit(1.0), slot / F.lit(1000.0), *[f(p) for p in phase for f in (F.cos, F.sin)]]
+def _season(slot: Column, period: int) -> list[Column]:
+    phase = [slot % period * (2 * math.pi * h / period) for h in range(1, HARMONICS + 1)]
+    return [f(p) for p in phase for f in (F.cos, F.sin)]
+
+
+def _terms(slot: Column, block: Column, period: int) -> list[Column]:
+    """The regressors of a slot: the trend in blocks since the given block."""
+    return [F.lit(1.0), (slot - block * BLOCK) / F.lit(float(BLOCK)), *_season(slot, period)]
 
 
 def slots(readings: DataFrame) -> DataFrame:
@@ -50,24 +59,48 @@ def _solved(sums: pd.Series) -> pd.Series:
     for k, (i, j) in enumerate(_PAIRS):
         a[:, i, j] = a[:, j, i] = table[:, k]
     b = table[:, n:]
-    few = a[:, 0, 0] < 2 * PARAMETERS
-    scale = np.einsum("kii->k", a) * 1e-9 + 1e-12
-    a += scale[:, None, None] * np.eye(PARAMETERS)
-    x = np.linalg.solve(a, b[:, :, None])[:, :, 0] if len(table) else b
-    x[few] = 0
-    x[few, 0] = b[few, 0] / np.maximum(1, table[few, 0])
+    # every regressor but the constant is centred and brought to one scale
+    mean = a[:, 0, :] / np.maximum(1, a[:, :1, 0])
+    mean[:, 0] = 0
+    c = a - a[:, :1, :] * mean[:, :, None]
+    c[:, 0, 1:] = c[:, 1:, 0] = 0
+    d = b - mean * b[:, :1]
+    scale = np.ones_like(mean)
+    scale[:, 1:] = np.sqrt(np.maximum(np.einsum("kii->ki", c)[:, 1:] / np.maximum(1, a[:, :1, 0]), 1e-24))
+    c /= scale[:, :, None] * scale[:, None, :]
+    slots_of = np.maximum(1, a[:, 0, 0])
+    prior = slots_of * (PARAMETERS / slots_of) ** FADE + 1e-9
+    c += prior[:, None, None] * np.diag([0.0] + [1.0] * (PARAMETERS - 1))
+    c[:, 0, 0] = slots_of
+    x = np.linalg.solve(c, (d / scale)[:, :, None])[:, :, 0] / scale if len(table) else b
+    x[:, 0] -= (mean * x).sum(axis=1)
     return pd.Series(list(x))
 
 
 def fitted(blocks: DataFrame) -> DataFrame:
-    """(KEY, coefficients) from the sums of the blocks."""
+    """(KEY, origin, coefficients) from the sums of the blocks, which are moved to the series' first block, the origin, as they add up."""
     solve = F.pandas_udf(_solved, "array<double>")
-    total = blocks.groupBy(*KEY).agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(len(_PAIRS) + PARAMETERS)])
-    return total.select(*KEY, solve(F.array(*[f"s{k}" for k in range(len(_PAIRS) + PARAMETERS)])).alias("coefficients"))
-
-
-def _of_blocks(cells: DataFrame) -> DataFrame:
-    x = _terms(F.col("slot"))
+    first = F.min("block").over(Window.partitionBy(*KEY))
+    moved = blocks.withColumn("origin", first).withColumn("d", (F.col("block") - F.col("origin")).cast("double"))
+    at = {p: F.col("sums")[k] for k, p in enumerate(_PAIRS)}
+    right = [F.col("sums")[len(_PAIRS) + k] for k in range(PARAMETERS)]
+    d = F.col("d")
+
+    def shifted(i: int, j: int) -> Column:
+        if 1 not in (i, j):
+            return at[i, j]
+        if i == j == 1:
+            return at[1, 1] + 2 * d * at[0, 1] + d * d * at[0, 0]
+        other = j if i == 1 else i
+        return at[i, j] + d * at[0, other]
+
+    parts = [shifted(i, j) for i, j in _PAIRS] + [r + d * right[0] if k == 1 else r for k, r in enumerate(right)]
+    total = moved.groupBy(*KEY).agg(F.min("origin").alias("origin"), *[F.sum(p).alias(f"s{k}") for k, p in enumerate(parts)])
+    return total.select(*KEY, "origin", solve(F.array(*[f"s{k}" for k in range(len(parts))])).alias("coefficients"))
+
+
+def _of_blocks(cells: DataFrame, period: int) -> DataFrame:
+    x = _terms(F.col("slot"), F.col("block"), period)
     sums = [F.sum(x[i] * x[j]) for i, j in _PAIRS] + [F.sum(x[i] * F.col("value")) for i in range(PARAMETERS)]
     end = F.struct("slot", "value")
     return cells.groupBy(*KEY, "block").agg(F.array(*sums).alias("sums"), F.min(end).alias("first"), F.max(end).alias("last"))
@@ -84,30 +117,32 @@ def gaps(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     return inner.where(wide).unionByName(outer.where(wide))
 
 
-def filled(readings: DataFrame) -> DataFrame:
-    """(KEY, slot, slot_start, value) of the missing slots of every series."""
+def filled(readings: DataFrame, period: int = PERIOD) -> DataFrame:
+    """(KEY, slot, slot_start, value) of the missing slots of every series, with a season of ``period`` slots."""
     cells = slots(readings)
-    blocks = _of_blocks(cells)
+    blocks = _of_blocks(cells, period)
     keys = [F.col(f"g.{k}").eqNullSafe(F.col(f"f.{k}")) for k in KEY]
-    both = gaps(cells, blocks).alias("g").join(fitted(blocks).alias("f"), keys).select("g.*", "f.coefficients")
-    model = lambda s: sum((F.col("coefficients")[i] * t for i, t in enumerate(_terms(s))), F.lit(0.0))
+    both = gaps(cells, blocks).alias("g").join(fitted(blocks).alias("f"), keys).select("g.*", "f.origin", "f.coefficients")
+    model = lambda s: sum((F.col("coefficients")[i] * t for i, t in enumerate(_terms(s, F.col("origin"), period))), F.lit(0.0))
     l, r = F.col("left.slot"), F.col("right.slot")
     both = both.withColumns({"rl": F.col("left.value") - model(l), "rr": F.col("right.value") - model(r)})
-    open_slots = both.withColumn("slot", F.explode(F.sequence(l + 1, r - 1)))
+    # a gap is opened piece by piece, so that no row holds a long one whole
+    pieces = both.withColumn("start", F.explode(F.sequence(l + 1, r - 1, F.lit(SLOTS_AT_ONCE).cast("bigint"))))
+    open_slots = pieces.withColumn("slot", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + (SLOTS_AT_ONCE - 1), r - 1))))
     slot = F.col("slot")
     value = model(slot) + F.col("rl") + (F.col("rr") - F.col("rl")) * (slot - l) / (r - l)
     return open_slots.select(*KEY, "slot", (slot * F.col("every")).alias("slot_start"), value.alias("value"))
 
 
-def regular(readings: DataFrame) -> DataFrame:
+def regular(readings: DataFrame, period: int = PERIOD) -> DataFrame:
     """(KEY, slot_start, value, filled): one row per slot between the first and the last usable reading."""
     seen = slots(readings).select(*KEY, (F.col("slot") * F.col("every")).alias("slot_start"), "value", F.lit(False).alias("filled"))
-    return seen.unionByName(filled(readings).select(*KEY, "slot_start", "value", F.lit(True).alias("filled")))
+    return seen.unionByName(filled(readings, period).select(*KEY, "slot_start", "value", F.lit(True).alias("filled")))
 
 
 def run_store_readings(runs: DataFrame, conditions: DataFrame, metrics: DataFrame, evaluations: DataFrame, curves: DataFrame) -> DataFrame:
     """The step-indexed histories of the run store as (KEY, step, value)."""
-    every_of = conditions.select("canonical_condition_id", "recording_every", "eval_every").dropDuplicates(["canonical_condition_id"])
+    every_of = conditions.groupBy("canonical_condition_id").agg(F.max("recording_every").alias("recording_every"), F.max("eval_every").alias("eval_every"))
     own = F.expr("try_cast(trim(params['recording/every']) as double)").cast("bigint")
     step_of_run = (
         runs.select(bare_id("run_id").alias("key"), "canonical_condition_id", own.alias("own"))
