@@ -65,12 +65,41 @@ def test_table_and_union(tables):
     table = {r["file_id"]: r for r in drift.consistent_table(files, fields, "a").collect()}
     assert table[8]["n"] == 7 and table[0]["items[]/bytes"] == [4] and table[0]["o/deep"] == 2
     assert table[8]["unfit"] == {} and 3 not in table
+    assert table[8]["added"] == {"extra": "1"} and table[0]["added"] == {}
     kinds = {(r["record_kind"], r["path"]): r["json_type"] for r in drift.union_schema(files).collect()}
     assert kinds["a", "n"] == "any" and kinds["a", "x"] == "number" and kinds["a", "o/deep"] == "integer"
     log = drift.change_log(files, fields).where("change = 'unreadable'").collect()
     assert log[0]["files"] == 6
 
 
+def test_a_change_of_type_moves_the_union_and_the_log_alike(spark):
+    at = datetime(2024, 1, 1)
+    files = lambda *payloads: spark.createDataFrame([(i, "a", at, json.dumps(p)) for i, p in enumerate(payloads)], "file_id bigint, record_kind string, written_at timestamp_ntz, payload string")
+    fields = spark.createDataFrame([("a", "n", "integer")], "record_kind string, field string, json_type string")
+    for payloads, union, log in (([{"n": 1}, {"n": 2}], "integer", set()), ([{"n": 1}, {"n": 2.5}], "number", {("n", "retyped", 1)}), ([{"n": 1}, {"n": "2"}, {"n": 2.5}], "any", {("n", "retyped", 2)})):
+        assert rows(drift.union_schema(files(*payloads)).select("path", "json_type", "files")) == {("n", union, len(payloads))}
+        assert rows(drift.change_log(files(*payloads), fields).select("field", "change", "files")) == log
+
+
+def test_added_fields_keep_the_type_of_the_union_and_files_in_two_shapes_count_once(spark):
+    at = datetime(2024, 1, 1)
+    files = spark.createDataFrame([(1, "a", at, '{"n": 1, "q": 2}'), (2, "a", at, '{"n": 1, "q": 2.5}'), (2, "a", at, '{"n": 1}'), (3, "a", at, '{"q": {"z": 1}, "n": 1}'), (3, "a", at, '{"q": {"z": 1}, "n": 1}')], "file_id bigint, record_kind string, written_at timestamp_ntz, payload string")
+    fields = spark.createDataFrame([("a", "n", "integer")], "record_kind string, field string, json_type string")
+    assert {(r["path"], r["json_type"], r["files"]) for r in drift.union_schema(files).collect()} == {("n", "integer", 3), ("q", "any", 3), ("q/z", "integer", 1)}
+    only = {r["file_id"]: r["added"] for r in drift.consistent_table(files.where("file_id = 1 or file_id = 2 and payload like '%2.5%'"), fields, "a").collect()}
+    assert only == {1: {"q": "2.0"}, 2: {"q": "2.5"}}
+
+
+def test_of_equally_like_names_the_type_over_all_files_decides():
+    wanted, shape = {"max_size": "number"}, {"size_max_a": "integer", "size_max_b": "integer"}
+    assert drift.departures(shape, wanted, "k", {"size_max_a": "any", "size_max_b": "number"})[1] == {"max_size": "size_max_b"}
+    assert drift.departures(shape, wanted, "k", {"size_max_a": "number", "size_max_b": "any"})[1] == {"max_size": "size_max_a"}
+
+
+def test_very_long_integers_stay_integers():
+    assert drift.shape_of(drift.parsed('{"n": ' + "9" * 5000 + "}")) == {"n": "integer"}
+
+
 def test_empty(tables):
     files, fields = tables
     assert drift.found(files.limit(0), fields).count() == 0

@@ -1,11 +1,13 @@
 """Records whose shape drifts from file to file, read into one table per kind.
 
-The shape of every file (its field paths and JSON types) is read in parallel, without a shuffle.
-Shapes fold through a lattice of types (``null`` below everything, ``integer`` below ``number``,
-``any`` above everything), so that the union schema of billions of files is one aggregation over
-bit masks. Each shape is then held against the wanted schema: fields that moved to another name or
-place are found by the words of their names (``SAME_WORD`` maps the words that mean one thing) among
-the absent and the extra fields of one file, and values are cast to the wanted type.
+The shape of every file (its field paths and JSON types) is read in parallel and written down once, a narrow row
+a file. All the rest works on the distinct shapes, which are few however many files there are (equal ones meet in
+the map-side combine). They fold through a lattice of types (``null`` below everything, ``integer`` below
+``number``, ``any`` above everything), one aggregation over bit masks, to the union schema. Each distinct shape, joined
+with the union schema, is held against the wanted schema once: fields that moved to another name or place
+are found among its absent and extra fields by the words of their names (``SAME_WORD`` maps the words that mean one
+thing), and of equally likely ones by the type that they have over all files. The changes of a file are those of
+its shape. Values are cast to the wanted type; fields that the wanted schema lacks are kept in the type of the union schema.
 
 Defined results: a null, empty or broken payload, a JSON value that isn't an object, and objects
 nested deeper than the parser's limit are ``unreadable``. A file of a kind that the schema doesn't
@@ -15,15 +17,19 @@ stands twice in one object the last counts. Exact copies of a file report each c
 
 from __future__ import annotations
 
+import decimal
+import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from warpline.session import if_small, settled
+
 TYPES = ("null", "boolean", "integer", "number", "string", "object", "array")
 #: Words of field names that stand for one thing; fixed values, extend per project.
 SAME_WORD = {
@@ -32,6 +38,8 @@ SAME_WORD = {
     "generated": "created", "written": "created", "time": "at", "on": "at", "learning_rate": "lr",
 }
 LEAST_LIKENESS = 0.5
+#: Distinct shapes whose changes are broadcast at most.
+SHAPES_AT_ONCE = 20_000
 
 
 class _Unreadable(ValueError):
@@ -39,7 +47,7 @@ class _Unreadable(ValueError):
 
 
 def _integer(literal: str):
-    return int(literal) if len(literal) < 4000 else float(literal)
+    return int(literal) if len(literal) < 4000 else decimal.Decimal(literal)  # longer than Python's limit for int()
 
 
 def parsed(payload: str | None) -> dict:
@@ -59,7 +67,7 @@ def type_of(value) -> str:
         return "null"
     if isinstance(value, bool):
         return "boolean"
-    return {int: "integer", float: "number", str: "string", dict: "object"}.get(type(value), "array")
+    return {int: "integer", decimal.Decimal: "integer", float: "number", str: "string", dict: "object"}.get(type(value), "array")
 
 
 def joined(a: str, b: str) -> str:
@@ -110,11 +118,12 @@ def words(path: str, kind: str) -> tuple[frozenset[str], frozenset[str]]:
     return frozenset(split(path)), frozenset(split(path.rpartition("/")[2]))
 
 
-def renames(extra: dict[str, str], absent: dict[str, str], kind: str) -> dict[str, str]:
+def renames(extra: dict[str, str], absent: dict[str, str], kind: str, union: dict[str, str]) -> dict[str, str]:
     """Absent field -> the field of the file that carries its content.
 
     Both lie in the same array (or none), the type fits, the last steps share a word, and the words of
-    both paths agree at least to ``LEAST_LIKENESS`` (shared over all). The likest pairs are taken first.
+    both paths agree at least to ``LEAST_LIKENESS`` (shared over all). The likest pairs are taken first, of equally
+    like ones those of the wanted type over all files (``union``).
     """
     likely = []
     for a, wanted in absent.items():
@@ -125,15 +134,15 @@ def renames(extra: dict[str, str], absent: dict[str, str], kind: str) -> dict[st
             all_e, last_e = words(e, kind)
             score = len(all_a & all_e) / max(1, len(all_a | all_e))
             if score >= LEAST_LIKENESS and (last_a & all_e or last_e & all_a):
-                likely.append((-score, a, e))
+                likely.append((-score, union.get(e, found) != wanted, a, e))
     chosen: dict[str, str] = {}
-    for _, a, e in sorted(likely):
+    for *_, a, e in sorted(likely):
         if a not in chosen and e not in chosen.values():
             chosen[a] = e
     return chosen
 
 
-def departures(shape: dict[str, str], wanted: dict[str, str], kind: str) -> tuple[list[tuple[str, str]], dict[str, str]]:
+def departures(shape: dict[str, str], wanted: dict[str, str], kind: str, union: dict[str, str] | None = None) -> tuple[list[tuple[str, str]], dict[str, str]]:
     """(field, change) of one shape in order, and where the renamed fields stand."""
     retyped = [p for p, t in shape.items() if p in wanted and not holds(wanted[p], t)]
     hidden = {p for p in shape if any(True for _ in parents(p, retyped))}
@@ -145,7 +154,7 @@ def departures(shape: dict[str, str], wanted: dict[str, str], kind: str) -> tupl
     absent = {p: t for p, t in wanted.items() if p not in shape and p not in mute}
     # what lies below a field that the schema lacks belongs to that field
     extra = {p: t for p, t in extra.items() if not any(True for _ in parents(p, extra))}
-    moved = renames(extra, absent, kind)
+    moved = renames(extra, absent, kind, union or {})
     added = [p for p in extra if p not in moved.values()]
     changes = [(p, "retyped") for p in retyped if not any(True for _ in parents(p, [r for r in retyped if r != p]))]
     changes += [(p, "renamed") for p in moved] + [(p, "removed") for p in absent if p not in moved] + [(p, "added") for p in added]
@@ -160,24 +169,58 @@ def _wanted(schema_fields: DataFrame) -> dict[str, dict[str, str]]:
     return fields
 
 
+SHAPES = "file_id bigint, record_kind string, written_at timestamp_ntz, shape_key string, shape string"
+
+
+def _key_of(kind: str | None, shape: str) -> str:
+    return hashlib.blake2b(f"{kind}\0{shape}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _told(kind: str | None, payload: str | None) -> tuple[str | None, str | None]:
+    """(key, shape) of a payload, nulls for an unreadable one. A shape is written as a JSON object in the order of its paths."""
+    try:
+        shape = json.dumps(shape_of(parsed(payload)), sort_keys=True)
+    except _Unreadable:
+        return None, None
+    return _key_of(kind, shape), shape
+
+
 def file_shapes(files: DataFrame) -> DataFrame:
-    """(file_id, record_kind, written_at, path, json_type) of every field of every readable file."""
+    """(file_id, record_kind, written_at, shape_key, shape) of every file, without a shuffle; nulls for an unreadable one."""
 
     def run(batches):
-        seen: dict[str, list] = {}
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i, k, at, payload in zip(*(b.column(c).to_pylist() for c in ("file_id", "record_kind", "written_at", "payload")), strict=True):
-                try:
-                    shape = shape_of(parsed(payload))
-                except _Unreadable:
-                    continue
-                for p, t in shape.items():
-                    for column, v in zip(out, (i, k, at, p, t), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.timestamp("us")), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=["file_id", "record_kind", "written_at", "path", "json_type"])
+            kinds = b.column("record_kind").to_pylist()
+            told = [_told(k, p) for k, p in zip(kinds, b.column("payload").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("file_id", "record_kind", "written_at")], pa.array([k for k, _ in told], pa.string()), pa.array([x for _, x in told], pa.string())], names=["file_id", "record_kind", "written_at", "shape_key", "shape"])
+
+    return _narrow(files).mapInArrow(run, SHAPES)
+
+
+def _fields(shapes: DataFrame) -> DataFrame:
+    """A row of each field of the shapes: their columns, path, mask (the bit of the type)."""
+    code = F.create_map(*[F.lit(x) for i, t in enumerate((*TYPES, "any")) for x in (t, 1 << i)])
+    rest = [c for c in shapes.columns if c != "shape"]
+    told = shapes.select(*rest, F.explode(F.from_json("shape", "map<string,string>")).alias("path", "json_type"))
+    return told.select(*rest, "path", F.element_at(code, F.col("json_type")).alias("mask"))
+
+
+def _type_of_mask(mask: Column) -> Column:
+    bare = mask.bitwiseAND(F.lit(~1))
+    kind = F.when(bare == 0, "null").when(bare == 12, "number")
+    for i, t in enumerate(TYPES[1:], 1):
+        kind = kind.when(bare == (1 << i), t)
+    return kind.otherwise("any")
+
+
+def distinct_shapes(shapes: DataFrame) -> DataFrame:
+    """(record_kind, shape_key, shape) of the shapes that occur."""
+    return shapes.where("shape is not null").groupBy("record_kind", "shape_key").agg(F.min("shape").alias("shape"))
 
-    return _narrow(files).mapInArrow(run, "file_id bigint, record_kind string, written_at timestamp_ntz, path string, json_type string")
+
+def folded(distinct: DataFrame) -> DataFrame:
+    """(record_kind, path, json_type): the least types that hold the fields of all files."""
+    return _fields(distinct).groupBy("record_kind", "path").agg(_type_of_mask(F.bit_or("mask")).alias("json_type"))
 
 
 def _narrow(files: DataFrame) -> DataFrame:
@@ -187,47 +230,57 @@ def _narrow(files: DataFrame) -> DataFrame:
 def union_schema(files: DataFrame) -> DataFrame:
     """(record_kind, path, json_type, files, first_seen, last_seen): the shapes of all files, folded through the lattice.
 
-    The types seen are a bit mask, so the fold is one commutative aggregation with map-side combine. ``files`` counts a
-    file once, however often it was delivered: a file's rows of a path are folded first, then the files are counted.
+    ``files`` counts a file once, however often it was delivered. Files of one shape, nearly all, are counted by their shape;
+    only those that came in several shapes are counted field by field.
     """
-    code = F.create_map(*[F.lit(x) for i, t in enumerate((*TYPES, "any")) for x in (t, 1 << i)])
-    once = file_shapes(files).groupBy("record_kind", "path", "file_id").agg(
-        F.bit_or(F.element_at(code, F.col("json_type"))).alias("mask"), F.min("written_at").alias("first_seen"), F.max("written_at").alias("last_seen"),
-    )
-    seen = once.groupBy("record_kind", "path").agg(
-        F.bit_or("mask").alias("mask"), F.count("file_id").alias("files"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-    )
-    bare = F.col("mask").bitwiseAND(F.lit(~1))
-    kind = F.when(bare == 0, "null").when(bare == 12, "number")
-    for i, t in enumerate(TYPES[1:], 1):
-        kind = kind.when(bare == (1 << i), t)
-    return seen.select("record_kind", "path", kind.otherwise("any").alias("json_type"), "files", "first_seen", "last_seen")
-
-
-def file_changes(files: DataFrame, schema_fields: DataFrame) -> DataFrame:
-    """(file_id, record_kind, written_at, field, change): every departure of every file, copies included."""
+    ends = [F.min("written_at").alias("first_seen"), F.max("written_at").alias("last_seen")]
+    shapes = settled(file_shapes(files).where("shape is not null"))
+    one = shapes.groupBy("record_kind", "file_id").agg(F.min("shape_key").alias("shape_key"), F.max("shape_key").alias("other"), *ends)
+    merge = [F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")]
+    by_shape = one.where("shape_key = other").groupBy("shape_key").agg(F.count("*").alias("files"), *merge)
+    counted = _fields(distinct_shapes(shapes).join(by_shape, "shape_key")).drop("shape_key")
+    several = one.where("shape_key <> other").select("file_id", F.coalesce("record_kind", F.lit("")).alias("k"), F.col("record_kind").isNull().alias("no"))
+    again = shapes.withColumns({"k": F.coalesce("record_kind", F.lit("")), "no": F.col("record_kind").isNull()}).join(several, ["file_id", "k", "no"], "left_semi").drop("k", "no", "shape_key")
+    again = _fields(again).groupBy("record_kind", "path", "file_id").agg(F.bit_or("mask").alias("mask"), *ends).withColumn("files", F.lit(1).cast("bigint")).drop("file_id")
+    seen = counted.unionByName(again).groupBy("record_kind", "path").agg(F.bit_or("mask").alias("mask"), F.sum("files").alias("files"), *merge)
+    return seen.select("record_kind", "path", _type_of_mask(F.col("mask")).alias("json_type"), "files", "first_seen", "last_seen")
+
+
+def shape_changes(shapes: DataFrame, schema_fields: DataFrame) -> DataFrame:
+    """(shape_key, changes, moved, extra) of every distinct shape: its departures, where renamed fields stand, and its added fields with their types in the union schema."""
     wanted = _wanted(schema_fields)
+    distinct = distinct_shapes(shapes)
+    types = folded(distinct).withColumnRenamed("json_type", "over_all").alias("u")
+    told = distinct.select("record_kind", "shape_key", F.explode(F.from_json("shape", "map<string,string>")).alias("path", "json_type")).alias("t")
+    same = F.col("t.record_kind").eqNullSafe(F.col("u.record_kind")) & (F.col("t.path") == F.col("u.path"))
+    # at most one row for each field of the shape
+    rows = told.join(types, same).groupBy("t.record_kind", "t.shape_key").agg(F.collect_list(F.struct("t.path", "t.json_type", "u.over_all")).alias("fields"))
+    bare = distinct.where("shape = '{}'").select("record_kind", "shape_key", F.array().cast(rows.schema["fields"].dataType).alias("fields"))
 
     def run(batches):
-        known: dict[tuple, list] = {}
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i, k, at, payload in zip(*(b.column(c).to_pylist() for c in ("file_id", "record_kind", "written_at", "payload")), strict=True):
-                try:
-                    shape = shape_of(parsed(payload))
-                    key = (k, *sorted(shape.items()))
-                    if (changes := known.get(key)) is None:
-                        changes = departures(shape, wanted.get(k, {}), k or "")[0]
-                        if len(known) < 20_000:
-                            known[key] = changes
-                except _Unreadable:
-                    changes = [("", "unreadable")]
-                for field, change in changes:
-                    for column, v in zip(out, (i, k, at, field, change), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.timestamp("us")), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=["file_id", "record_kind", "written_at", "field", "change"])
-
-    return _narrow(files).mapInArrow(run, "file_id bigint, record_kind string, written_at timestamp_ntz, field string, change string")
+            out: list[list] = [[], [], [], []]
+            for kind, key, fields in zip(*(b.column(c).to_pylist() for c in ("record_kind", "shape_key", "fields")), strict=True):
+                shape, union = {f["path"]: f["json_type"] for f in fields}, {f["path"]: f["over_all"] for f in fields}
+                changes, moved = departures(shape, wanted.get(kind, {}), kind or "", union)
+                extra = [(f, union[f]) for f, change in changes if change == "added"]
+                for column, v in zip(out, (key, [{"field": f, "change": c} for f, c in changes], sorted(moved.items()), extra), strict=True):
+                    column.append(v)
+            pairs = pa.map_(pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.struct([("field", pa.string()), ("change", pa.string())]))), pa.array(out[2], pairs), pa.array(out[3], pairs)], names=["shape_key", "changes", "moved", "extra"])
+
+    return rows.unionByName(bare).mapInArrow(run, "shape_key string, changes array<struct<field:string,change:string>>, moved map<string,string>, extra map<string,string>")
+
+
+def file_changes(files: DataFrame, schema_fields: DataFrame) -> DataFrame:
+    """(file_id, record_kind, written_at, field, change): every departure of every file, copies included."""
+    shapes = settled(file_shapes(files))
+    of_shape = if_small(settled(shape_changes(shapes, schema_fields).select("shape_key", "changes")), SHAPES_AT_ONCE)
+    none = F.struct(F.lit("").alias("field"), F.lit("unreadable").alias("change"))
+    kept = ["file_id", "record_kind", "written_at"]
+    readable = shapes.where("shape_key is not null").drop("shape").join(of_shape, "shape_key").select(*kept, F.explode("changes").alias("c"))
+    rows = readable.unionByName(shapes.where("shape_key is null").select(*kept, none.alias("c")))
+    return rows.select(*kept, "c.field", "c.change")
 
 
 def change_log(files: DataFrame, schema_fields: DataFrame) -> DataFrame:
@@ -284,13 +337,26 @@ def consistent_table(files: DataFrame, schema_fields: DataFrame, kind: str) -> D
 
     Columns are named as the fields, leaves only; a field in an array becomes an array column. A field
     that moved is taken from where it stands. A one-element array or object around a wanted scalar is
-    opened; a value that can't be cast without loss is null and stands, as JSON, in the map ``unfit``.
+    opened; a value that can't be cast without loss is null and stands, as JSON, in the map ``unfit``. Fields that
+    the wanted schema lacks stand in the map ``added``, as JSON in the type that the union schema gives them. Of a file
+    that came in several contents one row is kept.
     """
     wanted = _wanted(schema_fields).get(kind, {})
     leaves = [f for f, t in wanted.items() if t in _SPARK]
     fields = [T.StructField("file_id", T.LongType())]
     fields += [T.StructField(f, T.ArrayType(_SPARK[wanted[f]]) if "[]" in f else _SPARK[wanted[f]]) for f in sorted(leaves)]
-    schema = T.StructType([*fields, T.StructField("unfit", T.MapType(T.StringType(), T.StringType()))])
+    text = T.MapType(T.StringType(), T.StringType())
+    schema = T.StructType([*fields, T.StructField("unfit", text), T.StructField("added", text)])
+    of_kind = _narrow(files).where(F.col("record_kind") == kind)
+
+    def keyed(batches):
+        for b in batches:
+            payloads = b.column("payload").to_pylist()
+            keys = [_told(kind, p)[0] for p in payloads]
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), pa.array(keys, pa.string()), b.column("payload")], names=["file_id", "shape_key", "payload"])
+
+    of_shape = if_small(settled(shape_changes(settled(file_shapes(of_kind)), schema_fields).select("shape_key", "moved", "extra")), SHAPES_AT_ONCE)
+    rows = of_kind.mapInArrow(keyed, "file_id bigint, shape_key string, payload string").join(of_shape, "shape_key")
 
     def scalar(v, want: str, field: str, unfit: dict):
         if isinstance(v, list) and len(v) == 1:
@@ -307,21 +373,18 @@ def consistent_table(files: DataFrame, schema_fields: DataFrame, kind: str) -> D
 
         arrow = to_arrow_schema(schema)
         for b in batches:
-            rows = []
-            for i, payload in zip(b.column("file_id").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                try:
-                    value = parsed(payload)
-                except _Unreadable:
-                    continue
-                moved, unfit = departures(shape_of(value), wanted, kind)[1], {}
+            out = []
+            for i, payload, moved, extra in zip(*(b.column(c).to_pylist() for c in ("file_id", "payload", "moved", "extra")), strict=True):
+                value, moved, unfit = parsed(payload), dict(moved), {}
                 row = {"file_id": i}
                 for f in leaves:
                     v = _reach(value, moved.get(f, f))
                     row[f] = [scalar(x, wanted[f], f, unfit) for x in v] if "[]" in f and v is not None else None if "[]" in f else scalar(v, wanted[f], f, unfit)
-                rows.append(row | {"unfit": list(unfit.items())})
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                added = [(f, json.dumps(v if t not in _SPARK or (c := _cast(v, t)) is None else c, default=str)) for f, t in extra for v in [_reach(value, f)]]
+                out.append(row | {"unfit": list(unfit.items()), "added": added})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return _narrow(files).where(F.col("record_kind") == kind).mapInArrow(run, schema).dropDuplicates(["file_id"])
+    return rows.mapInArrow(run, schema).dropDuplicates(["file_id"])
 
 
 def found(files: DataFrame, schema_fields: DataFrame) -> DataFrame:
