@@ -3,8 +3,8 @@
 The network reads fixed windows of ``WINDOW`` bytes: filters of the widths ``WIDTHS`` over one-hot bytes,
 rectified, max-pooled over the window, and a softmax layer. It is trained here, in numpy: first on sentences
 of known language, then again with lines of documents whose label names the language that the first network
-gives them, from at most ``DOCUMENTS`` documents (the smallest by a hash of their id) and ``LINES`` lines a
-language. That bound holds for training only; every line of every document is classified.
+gives them, from at most ``LINES`` sentences and lines a language, ``DOCUMENTS`` documents and ``LINES_OF_ONE`` lines of
+each, all picked by a hash, so the same every time. These bounds hold for training only; every line of every document is classified.
 
 Before that, lines without a language (code, config, log, numbers, markup) are told by their form: too few of
 their letters stand in plain words, or too many signs of code among the words. A line's language is that
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +39,7 @@ NAMES = {
 }
 WINDOW, WIDTHS, FILTERS = 64, (2, 3, 4), 24
 LETTERS, LEAST_CONFIDENCE = 20, 0.5
-DOCUMENTS, LINES, EPOCHS, LEAST_EXAMPLES, SEED = 4_000, 1_500, 3, 60_000, 11
+DOCUMENTS, LINES, LINES_OF_ONE, EPOCHS, LEAST_EXAMPLES, SEED = 4_000, 1_500, 100, 3, 60_000, 11
 REMEMBERED = 300_000
 
 _LETTER = re.compile(r"[^\W\d_]+")
@@ -197,9 +198,13 @@ def classified(network: Network, lines: list[str]) -> list[tuple[str, float]]:
     return [(LANGUAGES[k], float(p[i, k])) for i, k in enumerate(best)]
 
 
+def _order(line: str) -> tuple[int, str]:
+    return zlib.crc32(line.encode("utf-8", "replace")), line
+
+
 def trained(documents: DataFrame, samples: DataFrame) -> Network | None:
     """The network (none without a sentence of known language), from the sentences of known language and a bounded number of documents."""
-    known = [(r[0], label_of(r[1])) for r in samples.select("text", "lang").limit(LINES * len(LANGUAGES)).collect()]
+    known = [(r[0], label_of(r[1])) for r in samples.select("text", "lang").orderBy(F.xxhash64("text"), "text", "lang").limit(LINES * len(LANGUAGES)).collect()]
     lines = [(tidy(t), LANGUAGES.index(c)) for t, c in sorted((t, c) for t, c in known if t and c)]
     if not lines:
         return None
@@ -211,7 +216,7 @@ def trained(documents: DataFrame, samples: DataFrame) -> Network | None:
     for _, lang, text in some.toLocalIterator():
         if code := label_of(lang):
             own = {_LEAD.sub("", tidy(line)) for line in text.split("\n") if letters_of(line) >= LETTERS and is_prose(tidy(line))}
-            for line in sorted(own)[:100]:  # what one document gives to the training is bounded too
+            for line in sorted(own, key=_order)[:LINES_OF_ONE]:
                 asked.setdefault(line, []).append((code, taken))
             taken += 1
     answers = dict(zip(asked, classified(first, list(asked)), strict=True))
