@@ -13,6 +13,7 @@ from warpline.functions import arrays as A
 from warpline.functions.numeric import r6
 
 EPS = 1e-7
+ENDLESS = 30.0
 
 
 def softmax_terms(scores: Column, label: Column) -> Column:
@@ -54,8 +55,11 @@ def negative_sampling(rows: DataFrame, positive: str, negatives: str) -> DataFra
     return rows.agg(r6(F.sum(total) / F.count("*")).alias("optimised"), r6(F.sum(total) / F.sum(F.size(n) + 1)).alias("reported"))
 
 
-def perplexity(rows: DataFrame, loss: str, units: str) -> DataFrame:
-    return rows.agg(r6(F.exp(F.sum(F.col(loss) * F.col(units)) / F.sum(units)), 4).alias("perplexity"), r6(F.sum(F.col(loss) * F.col(units)) / F.sum(units)).alias("loss"))
+def perplexity(rows: DataFrame, loss: str, units: str, *keys: str) -> DataFrame:
+    """(keys, perplexity, loss): of the mean loss by units; infinite where that is above ``ENDLESS``."""
+    mean = F.sum(F.col(loss) * F.col(units)) / F.sum(units)
+    m = rows.groupBy(*keys).agg(mean.alias("m"))
+    return m.select(*keys, F.when(F.col("m") > ENDLESS, float("inf")).otherwise(r6(F.exp("m"), 4)).alias("perplexity"), r6(F.col("m")).alias("loss"))
 
 
 def accuracy(rows: DataFrame, scores: str, label: str) -> DataFrame:

@@ -2,56 +2,76 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from warpline.session import if_small, settled
+
 
 def uniform(*keys: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the keys and the seed alone, whatever the partitions."""
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def alias_table(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(threshold, alias) of Vose's method, for a vocabulary that fits in memory."""
-    n = len(p)
-    q = np.asarray(p, float) / np.sum(p) * n
-    alias, small, large = np.arange(n), [i for i in range(n) if q[i] < 1], [i for i in range(n) if q[i] >= 1]
-    threshold = np.ones(n)
-    while small and large:
-        s, g = small.pop(), large.pop()
-        threshold[s], alias[s] = q[s], g
-        q[g] -= 1 - q[s]
-        (small if q[g] < 1 else large).append(g)
-    return threshold, alias
+def digest_uniform(*keys: Column | str, seed: int = 0) -> Column:
+    """The same by an MD5 digest, so that other engines can draw the same numbers; slower than ``uniform``."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def drawn(rows: DataFrame, keys: list[str], distribution: DataFrame, negatives: int, target: str, seed: int = 0) -> DataFrame:
     """rows with ``negative``: that many exact draws a row, never the row's target, by inverting the conditional cdf.
 
     ``distribution``: (word_id, p, low, cdf). The point ``u (1 - p_t)`` is moved past the target's interval, then found in
-    the cdf by a join on its leading digits.
+    the cdf by a join on its cell, of which there are at least as many as words, so a cell holds few of them and the words
+    over all cells are at most twice as many. A distribution of a bounded size is sent along, and no draw is shuffled.
     """
-    own = distribution.select(F.col("word_id").alias(target), (F.col("cdf") - F.col("low")).alias("_pt"), F.col("low").alias("_lt"))
+    distribution = settled(distribution)
+    cells = 1 << max(10, distribution.count().bit_length())
+    own = if_small(distribution.select(F.col("word_id").alias(target), (F.col("cdf") - F.col("low")).alias("_pt"), F.col("low").alias("_lt")))
     draws = rows.join(own, target).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(negatives))))
     u = uniform(*keys, "draw", seed=seed) * (1 - F.col("_pt"))
     draws = draws.withColumn("_u", F.when(u < F.col("_lt"), u).otherwise(u + F.col("_pt"))).drop("_pt", "_lt")
-    cells = 1024
     place = lambda c: F.floor(c * cells).cast("int")
-    cut = distribution.select(F.col("word_id").alias("negative"), F.col("low").alias("_low"), F.col("cdf").alias("_high"), F.explode(F.sequence(place(F.col("low")), place(F.col("cdf")))).alias("_cell"))
-    found = draws.withColumn("_cell", place(F.col("_u"))).join(cut, "_cell").where((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
+    cut = distribution.where("cdf > low").select(F.col("word_id").alias("negative"), F.col("low").alias("_low"), F.col("cdf").alias("_high"), F.explode(F.sequence(place(F.col("low")), place(F.col("cdf")))).alias("_cell"))
+    found = draws.withColumn("_cell", place(F.col("_u"))).join(if_small(cut), "_cell").where((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
     return found.drop("_cell", "_u", "_low", "_high")
 
 
+def rejected(rows: DataFrame, keys: list[str], target: str, words: int, negatives: int, rounds: int = 3, seed: int = 0) -> DataFrame:
+    """rows with ``draw`` and ``negative``: uniform words, drawn anew if the target comes, for so many rounds, and then the word after it."""
+    draws = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(negatives))))
+    pick = F.pmod(F.col(target) + 1, F.lit(words))
+    for r in reversed(range(rounds)):
+        word = F.floor(digest_uniform(*keys, "draw", F.lit(r), seed=seed) * words)
+        pick = F.when(word != F.col(target), word).otherwise(pick)
+    return draws.withColumn("negative", pick.cast("bigint"))
+
+
 def without_replacement(distribution: DataFrame, key: str, weight: str, k: int, seed: int = 0) -> DataFrame:
     """k different ids, drawn in proportion to their weights (exponential races)."""
-    race = -F.ln(uniform(key, seed=seed) + 1e-300) / F.col(weight)
+    race = -F.ln(digest_uniform(key, seed=seed) + 1e-300) / F.col(weight)
     return distribution.where(F.col(weight) > 0).withColumn("race", race).orderBy("race", key).limit(k).drop("race")
 
 
 def split(rows: DataFrame, key: str, share: float = 0.1, seed: int = 0) -> DataFrame:
-    """rows with ``split``: 'test' for about that share, by the hash of the key, so that rows added later keep theirs."""
-    return rows.withColumn("split", F.when(uniform(key, seed=seed) < share, "test").otherwise("train"))
+    """rows with ``split``: 'test' for the last ``floor(n * share)`` of the rows, shuffled by the digests of their keys, 'train' for the others.
+
+    Rows are counted by the leading digits of their digests; only those of the one count in which the cut lies are
+    ordered. Keys are unique; equal ones are ordered as they come.
+    """
+    told = rows.withColumns({"_h": F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))}).withColumn("_b", F.substring("_h", 1, 4))
+    counts = settled(told.groupBy("_b").agg(F.count("*").alias("n")))  # at most 65,536 rows
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    train = n - int(n * share)
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cut = before.where((F.col("before") <= train) & (F.col("before") + F.col("n") > train)).first()
+    if cut is None:  # all or nothing is for training
+        return told.drop("_h", "_b").withColumn("split", F.lit("train"))
+    inside = told.where(F.col("_b") == cut["_b"]).withColumn("_r", F.row_number().over(Window.orderBy("_h", key)) - 1 + cut["before"])
+    inside = inside.withColumn("split", F.when(F.col("_r") >= train, "test").otherwise("train")).drop("_r")
+    outside = told.where(F.col("_b") != cut["_b"]).withColumn("split", F.when(F.col("_b") > cut["_b"], "test").otherwise("train"))
+    return outside.unionByName(inside).drop("_h", "_b")
 
 
 def shuffled(rows: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from warpline.functions import arrays as A
-from warpline.functions.numeric import r6
+from warpline.functions.numeric import finite, r6
 from warpline.operators import losses as L
 from warpline.operators import optimizers as O
 from warpline.operators import sampling as S
 from warpline.operators import tensors as T
 from warpline.plans.registry import Registry
+from warpline.session import if_small, settled
 
 registry = Registry()
 add = registry.add
@@ -104,11 +105,23 @@ add("loss_softmax", "embeddings", sql=SCORES + "SELECT round(avg(-ln(p[label + 1
 add("loss_softmax_gradient", "embeddings", sql=SCORES + "SELECT vec_id, list_transform(p, lambda x, i: CASE WHEN label = 3 THEN 0.0 ELSE round((x - (i = label + 1)::INT) / 100, 6) + 0.0 END) AS gradient FROM p")(lambda e: _scores(e).select("vec_id", F.transform(L.softmax_gradient(F.col("scores"), F.col("label"), F.lit(100.0), 3), lambda x: F.round(x, 6) + F.lit(0.0)).alias("gradient")))
 add("loss_grouped", "embeddings", sql=SCORES + "SELECT round(sum(-ln(p[label + 1] + 1e-7) - ln(p[(label + 1) % 10 + 1] + 1e-7)) / (2 * count(*)), 6) + 0.0 AS loss, 2 * count(*) AS unit_count FROM p")(lambda e: L.grouped_cross_entropy(_scores(e).withColumn("labels", F.array(F.col("label"), (F.col("label") + 1) % 10)), "scores", "labels"))
 _BCE = "greatest({s}, 0.0) - {s} * {y} + ln(1 + exp(-abs({s})))"
-add("loss_binary", "embeddings", sql=V + f"SELECT round(avg({_BCE.format(s='e[1] * 10', y='(label % 2)')}), 6) + 0.0 AS loss, count(*) AS unit_count FROM v")(lambda e: L.binary_cross_entropy(_rows(e).select((F.get("e", F.lit(0)) * 10).alias("s"), (F.col("label") % 2).cast("double").alias("y")), "s", "y"))
-add("loss_negative_sampling", "embeddings", sql=V + f", t AS (SELECT {_BCE.format(s='e[1]', y='1.0')} + list_sum(list_transform(e[2:6], lambda x: {_BCE.format(s='x', y='0.0')})) AS t FROM v) SELECT round(sum(t) / count(*), 6) + 0.0 AS optimised, round(sum(t) / (6 * count(*)), 6) + 0.0 AS reported FROM t")(lambda e: L.negative_sampling(_rows(e).select(F.get("e", F.lit(0)).alias("pos"), F.slice("e", 2, 5).alias("neg")), "pos", "neg"))
+add("loss_binary", "embeddings", sql=V + f"SELECT round(avg({_BCE.format(s='(long.v * 10)', y='(label % 2)')}), 6) + 0.0 AS loss, count(*) AS unit_count FROM long JOIN v ON vec_id = i")(
+    # every component as a logit of whether the label is odd
+    lambda e: L.binary_cross_entropy(_rows(e).select(F.explode("e").alias("s"), (F.col("label") % 2).cast("double").alias("y")).withColumn("s", F.col("s") * 10), "s", "y")
+)
+add("loss_negative_sampling", "embeddings", sql=V + f", t AS (SELECT {_BCE.format(s='e[1]', y='1.0')} + list_sum(list_transform(e[2:], lambda x: {_BCE.format(s='x', y='0.0')})) AS t, len(e) AS n FROM v) SELECT round(sum(t) / count(*), 6) + 0.0 AS optimised, round(sum(t) / sum(n), 6) + 0.0 AS reported FROM t")(
+    # the first component as the right word's score, all the others as those drawn
+    lambda e: L.negative_sampling(_rows(e).select(F.get("e", F.lit(0)).alias("pos"), F.slice("e", F.lit(2), F.size("e")).alias("neg")), "pos", "neg")
+)
 add("loss_accuracy", "embeddings", sql=SCORES + "SELECT count(*) FILTER (WHERE list_position(e, list_max(e)) = label + 1) AS correct, count(*) AS n, round(count(*) FILTER (WHERE list_position(e, list_max(e)) = label + 1) / count(*), 6) + 0.0 AS accuracy FROM s")(lambda e: L.accuracy(_scores(e), "scores", "label"))
-add("loss_perplexity", "updates", sql="SELECT round(exp(sum(loss * batch_size) / sum(batch_size)), 4) + 0.0 AS perplexity, round(sum(loss * batch_size) / sum(batch_size), 6) + 0.0 AS loss FROM updates WHERE loss BETWEEN 0 AND 10 AND batch_size IS NOT NULL")(lambda u: L.perplexity(u.where("loss between 0 and 10 and batch_size is not null"), "loss", "batch_size"))
-add("loss_squared", "embeddings", sql=V + "SELECT round(0.5 * sum((e[1] - e[2]) ** 2), 6) + 0.0 AS half_sum, round(avg((e[1] - e[2]) ** 2), 6) + 0.0 AS mean FROM v")(lambda e: L.squared_error(_rows(e).select(F.get("e", F.lit(0)).alias("a"), F.get("e", F.lit(1)).alias("b")), "a", "b"))
+add("loss_perplexity", "updates", sql="""SELECT canonical_condition_id, CASE WHEN m > 30 THEN 'inf'::DOUBLE ELSE round(exp(m), 4) + 0.0 END AS perplexity, round(m, 6) + 0.0 AS loss
+FROM (SELECT canonical_condition_id, sum(loss * batch_size) / sum(batch_size) AS m FROM updates WHERE isfinite(loss) AND batch_size IS NOT NULL GROUP BY 1)""")(
+    lambda u: L.perplexity(u.where(finite("loss") & F.col("batch_size").isNotNull()), "loss", "batch_size", "canonical_condition_id")
+)
+add("loss_squared", "embeddings", sql=V + "SELECT round(0.5 * sum(pow(long.v - label, 2)), 6) + 0.0 AS half_sum, round(avg(pow(long.v - label, 2)), 6) + 0.0 AS mean FROM long JOIN v ON vec_id = i")(
+    # every component against the label
+    lambda e: L.squared_error(_rows(e).select(F.explode("e").alias("a"), F.col("label").cast("double").alias("b")), "a", "b")
+)
 
 
 @add("tensor_numerical_gradient", "embeddings", sql=V + "SELECT vec_id, round(e[1] / 10, 5) + 0.0 AS grad_x, round(2 * e[2], 5) + 0.0 AS grad_y FROM v")
@@ -216,14 +229,20 @@ def sampling_negatives(d):
     from warpline.operators import corpus as C
 
     t = C.tokens(d)
-    v = C.vocabulary(t)
-    dist = C.unigram(v.select("word_id", "n"))
-    return S.drawn(C.encoded(t, v), ["doc_id", "pos"], dist, 5, "word_id")
-
-
-@add("sampling_split", "documents")
-def sampling_split(d):
-    return S.split(d.select("doc_id"), "doc_id")
+    v = settled(C.vocabulary(t))
+    return S.drawn(C.encoded(t, if_small(v.select("word", "word_id"))), ["doc_id", "pos"], C.unigram(v.select("word_id", "n")), 5, "word_id")
+
+
+_MD5_U = "('0x' || substr(md5({0}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+add("sampling_split", "documents", sql="SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('0|' || doc_id), doc_id) > count(*) OVER () - floor(count(*) OVER () * 0.1) THEN 'test' ELSE 'train' END AS split FROM documents")(lambda d: S.split(d.select("doc_id"), "doc_id"))
+_ROUND = "floor(" + _MD5_U.format("'0|' || vec_id || '|' || draw || '|{0}'") + " * 10)::BIGINT"
+add("sampling_rejected", "embeddings", sql="WITH d AS (SELECT vec_id, label, unnest(range(1, 6)) AS draw FROM embeddings) SELECT vec_id, label, draw::INT AS draw, " + "".join(f"CASE WHEN {_ROUND.format(r)} <> label THEN {_ROUND.format(r)} ELSE " for r in range(3)) + "(label + 1) % 10" + " END" * 3 + " AS negative FROM d")(
+    lambda e: S.rejected(e.select("vec_id", "label"), ["vec_id"], "label", 10, 5)
+)
+add("sampling_uniform", "documents", sql="SELECT doc_id, floor(" + _MD5_U.format("'7|' || doc_id") + " * 1000)::BIGINT AS word FROM documents")(lambda d: d.select("doc_id", F.floor(S.digest_uniform("doc_id", seed=7) * 1000).alias("word")))
+add("sampling_without_replacement", "embeddings", sql="SELECT vec_id FROM (SELECT vec_id, -ln(" + _MD5_U.format("'0|' || vec_id") + " + 1e-300) / (label + 1) AS race FROM embeddings WHERE label IS NOT NULL) ORDER BY race, vec_id LIMIT 50")(
+    lambda e: S.without_replacement(e.where("label is not null").select("vec_id", (F.col("label") + 1.0).alias("w")), "vec_id", "w", 50).select("vec_id")
+)
 
 
 @add("sampling_batches", "evaluations", sql="SELECT canonical_condition_id, batch, count(*) AS rows FROM (SELECT canonical_condition_id, (row_number() OVER (PARTITION BY canonical_condition_id) - 1) // 32 AS batch, count(*) OVER (PARTITION BY canonical_condition_id) // 32 AS full_ FROM (SELECT DISTINCT canonical_condition_id, run_id, axis, axis_step, metric, split FROM evaluations)) WHERE batch < full_ GROUP BY ALL")

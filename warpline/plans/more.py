@@ -45,18 +45,17 @@ add("layer_bidirectional_lstm", "embeddings")(lambda e: recurrent.encoded(e.wher
 
 
 @add("corpus_cbow_encode", "documents", "embeddings", sql=TOKENS + """, c AS (SELECT doc_id, pos, unnest([words[pos - 1], words[pos], words[pos + 2], words[pos + 3]]) AS word FROM (SELECT doc_id, words, unnest(range(2, len(words) - 2))::INT AS pos FROM docs WHERE len(words) > 4)),
-e AS (SELECT vec_id AS word_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)
-SELECT doc_id, count(*) AS n, round(avg(x), 4) + 0.0 AS x, round(avg(y), 4) + 0.0 AS y FROM c JOIN vocab USING (word) JOIN e USING (word_id) GROUP BY doc_id""")
+e AS (SELECT vec_id AS word_id, unnest(range(len(embedding)))::INT AS j, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT doc_id, j, count(*) AS n, round(avg(x), 4) + 0.0 AS v FROM (SELECT doc_id, word_id FROM c JOIN vocab USING (word)) JOIN e USING (word_id) GROUP BY ALL""")
 def corpus_cbow_encode(d, e):
-    """(doc_id, n, x, y): the mean of the first two components of all context words that have a vector."""
+    """(doc_id, j, n, v): the mean of the vectors of all context words of a document that have one, component by component."""
     vocab = C.vocabulary(C.tokens(d))
     near = C.contexts(d).select("doc_id", F.explode("context").alias("word"))
     # counted per document and word first, so that frequent words don't multiply the join
     counted = near.groupBy("doc_id", "word").agg(F.count("*").alias("k"))
-    v = e.select(F.col("vec_id").alias("word_id"), A.doubles("embedding").alias("v"))
+    v = e.where("embedding is not null").select(F.col("vec_id").alias("word_id"), F.posexplode(A.doubles("embedding")).alias("j", "x"))
     j = counted.join(vocab.select("word", "word_id"), "word").join(v, "word_id")
-    mean = lambda i: r6(F.sum(F.col("k") * F.get("v", F.lit(i))) / F.sum("k"), 4)
-    return j.groupBy("doc_id").agg(F.sum("k").alias("n"), mean(0).alias("x"), mean(1).alias("y"))
+    return j.groupBy("doc_id", "j").agg(F.sum("k").alias("n"), r6(F.sum(F.col("k") * F.col("x")) / F.sum("k"), 4).alias("v"))
 
 
 def _streamed(name: str, sql: str | None, path: str, build, mode: str):

@@ -86,11 +86,11 @@ def memory_estimate(runs):
     return runs.select("run_id", (F.col("params")["model/hidden_size"].try_cast("bigint") * 8 * 10000 * 4).alias("bytes")).distinct()
 
 
-@add("axis_limits", "evaluations", sql=HIST + """, m AS (SELECT metric, min(value) AS lo, max(value) AS hi FROM eh WHERE value BETWEEN 0 AND 1000 GROUP BY 1)
+@add("axis_limits", "evaluations", sql=HIST + """, m AS (SELECT metric, min(value) AS lo, max(value) AS hi FROM eh GROUP BY 1)
 SELECT metric, round(lo - greatest(0.06 * (hi - lo), 0.01 * hi, 1), 6) + 0.0 AS low, round(hi + greatest(0.06 * (hi - lo), 0.01 * hi, 1), 6) + 0.0 AS high FROM m""")
 def axis_limits(e):
-    """Limits of an axis with room: 6 % of the span, 1 % of the maximum, and one at least. Values outside 0..1000 are left out, as in the SQL."""
-    m = R.evaluation_history(e).where("value BETWEEN 0 AND 1000").groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    """Limits of an axis with room: 6 % of the span, 1 % of the maximum, and one at least."""
+    m = R.evaluation_history(e).groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     room = F.greatest(0.06 * (F.col("hi") - F.col("lo")), 0.01 * F.col("hi"), F.lit(1.0))
     return m.select("metric", r6(F.col("lo") - room).alias("low"), r6(F.col("hi") + room).alias("high"))
 

@@ -51,9 +51,10 @@ def corpus_unknown_words(d):
     return C.unknown_words(C.tokens(d), C.vocabulary(C.tokens(d.where("doc_type = 'notes'"))))
 
 
-@add("corpus_word_counts", "documents", sql=TOKENS + "SELECT v.word_id, count(t.word) AS n FROM vocab v LEFT JOIN (SELECT t.* FROM tokens t JOIN documents d USING (doc_id) WHERE d.doc_type = 'notes') t USING (word) GROUP BY v.word_id")
+@add("corpus_word_counts", "documents", sql=TOKENS + "SELECT v.word_id, count(t.word) AS n FROM vocab v LEFT JOIN tokens t USING (word) GROUP BY v.word_id")
 def corpus_word_counts(d):
-    return C.word_counts(C.tokens(d.where("doc_type = 'notes'")), C.vocabulary(C.tokens(d)))
+    """How often each word of the vocabulary stands in all documents."""
+    return C.word_counts(C.tokens(d), C.vocabulary(C.tokens(d)))
 
 
 @add("corpus_unigram", "documents", sql=TOKENS + ", w AS (SELECT word_id, pow(n, 0.75) AS w FROM vocab) SELECT word_id, round(w / sum(w) OVER (), 9) + 0.0 AS p, CASE WHEN word_id = max(word_id) OVER () THEN 1.0 ELSE round(sum(w) OVER (ORDER BY word_id) / sum(w) OVER (), 6) + 0.0 END AS cdf FROM w")
