@@ -28,7 +28,7 @@ def first_source(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame
         one = s.withColumn("origin", F.lit(k))
         rows = one if rows is None else rows.unionByName(one)
     first = rows.groupBy(*keys).agg(F.min("origin").alias("origin"))
-    return rows.join(first, [*keys, "origin"], "left_semi")
+    return rows.join(first, [*keys, "origin"], "left_semi").select(*rows.columns)
 
 
 def points(rows: DataFrame, keys: Sequence[str], step: Column, value: Column) -> DataFrame:
