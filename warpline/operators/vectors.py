@@ -1,8 +1,8 @@
 """Nearest vectors, analogies and ranks of expected answers, exact over all vectors.
 
-The stated queries are worked through in blocks of ``BLOCK`` vectors that are sent to the executors; all
-vectors stream past, each batch is one matrix product and keeps only its best k a query, so what is
-shuffled is k rows a query and batch.
+The stated queries are worked through in blocks of ``BLOCK`` vectors that are sent to the executors, one pass over
+all vectors each; these stream past, each batch is a matrix product with ``AT_ONCE`` queries at a time and keeps only
+its best k a query, so what is shuffled is k rows a query and batch. The driver holds one block at a time.
 
 Defined results: non-finite scores and excluded vectors rank as minus infinity, they aren't removed; ties go to
 the smaller id; a zero vector scores 0; null vectors are left out.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from warpline.functions import arrays as A
 from warpline.functions.numeric import r6
 
-BLOCK = 4096
+BLOCK, AT_ONCE = 32_768, 512
 
 
 def normalised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -56,15 +56,17 @@ def best(vectors: DataFrame, queries: DataFrame, k: int, normalise: bool = True)
                 v, at = np.stack(b["embedding"].to_numpy()), b["vec_id"].to_numpy()
                 if normalise:
                     v = v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
-                s = q @ v.T
-                masked = np.where(np.isfinite(s), s, -np.inf)
-                for i, out in enumerate(excluded):
-                    if out:
-                        masked[i, np.isin(at, list(out))] = -np.inf
-                order = np.lexsort((np.broadcast_to(at, masked.shape), -masked), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(ids)), order.shape[1])
-                col = order.ravel()
-                yield pd.DataFrame({"query_id": ids[row], "vec_id": at[col], "score": s[row, col], "masked": masked[row, col]})
+                for first in range(0, len(ids), AT_ONCE):
+                    part = slice(first, first + AT_ONCE)
+                    s = q[part] @ v.T
+                    masked = np.where(np.isfinite(s), s, -np.inf)
+                    for i, out in enumerate(excluded[part]):
+                        if out:
+                            masked[i, np.isin(at, list(out))] = -np.inf
+                    order = np.lexsort((np.broadcast_to(at, masked.shape), -masked), axis=1)[:, :k]
+                    row = np.repeat(np.arange(len(s)), order.shape[1])
+                    col = order.ravel()
+                    yield pd.DataFrame({"query_id": ids[part][row], "vec_id": at[col], "score": s[row, col], "masked": masked[row, col]})
 
         passes.append(rows.mapInPandas(run, "query_id bigint, vec_id bigint, score double, masked double"))
     if not passes:
@@ -111,21 +113,21 @@ def expected_ranks(vectors: DataFrame) -> DataFrame:
     spark, passes = vectors.sparkSession, []
     rows = vectors.where("embedding is not null").select("vec_id", A.doubles("embedding").alias("embedding"))
     for block in _blocks(q):
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block]), [set(r[2]) for r in block], np.array([r[3] for r in block])))
-        vectors_of = {r[3]: r[4] for r in block}
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block]), [set(r[2]) for r in block], np.array([r[3] for r in block]), np.array([r[4] for r in block], dtype=float)))
 
-        def run(batches, shared=shared, scores=vectors_of):
-            ids, q, excluded, expected = shared.value
-            own = np.array([scores[e] for e in expected])
+        def run(batches, shared=shared):
+            ids, q, excluded, expected, own = shared.value
             for b in batches:
                 if not len(b):
                     continue
                 v, at = np.stack(b["embedding"].to_numpy()), b["vec_id"].to_numpy()
-                s = q @ v.T
-                for i, out in enumerate(excluded):
-                    s[i, np.isin(at, list(out))] = -np.inf
-                before = ((s > own[:, None] + 1e-12) | ((np.abs(s - own[:, None]) <= 1e-12) & (at[None, :] < expected[:, None]))) & (at[None, :] != expected[:, None])
-                yield pd.DataFrame({"query_id": ids, "expected_id": expected, "before": before.sum(axis=1)})
+                for first in range(0, len(ids), AT_ONCE):
+                    part = slice(first, first + AT_ONCE)
+                    s, mine, wanted = q[part] @ v.T, own[part, None], expected[part, None]
+                    for i, out in enumerate(excluded[part]):
+                        s[i, np.isin(at, list(out))] = -np.inf
+                    before = ((s > mine + 1e-12) | ((np.abs(s - mine) <= 1e-12) & (at[None, :] < wanted))) & (at[None, :] != wanted)
+                    yield pd.DataFrame({"query_id": ids[part], "expected_id": expected[part], "before": before.sum(axis=1)})
 
         passes.append(rows.mapInPandas(run, "query_id bigint, expected_id bigint, before bigint"))
     if not passes:

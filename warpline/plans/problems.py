@@ -82,9 +82,23 @@ P6_COUNTS_SQL = P6_BROKEN + """SELECT ref_table, ref_field, strftime(seen_at, '%
 _FILES = ("result_files", "schema_fields")
 _HISTORIES = ("runs", "conditions", "metrics", "evaluations", "curves")
 
+P1_UNION_SQL = """
+WITH RECURSIVE texts AS (SELECT DISTINCT file_id, record_kind, written_at, trim(ltrim(payload, chr(65279)), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM result_files WHERE payload IS NOT NULL),
+files AS (SELECT file_id, record_kind, written_at, t::JSON AS v FROM texts WHERE json_valid(t) AND json_type(t) = 'OBJECT'),
+nodes AS (
+  SELECT file_id, record_kind, written_at, '' AS path, v, false AS is_field FROM files
+  UNION ALL
+  SELECT n.file_id, n.record_kind, n.written_at, CASE WHEN c.key IS NULL THEN n.path || '[]' WHEN n.path = '' THEN c.key ELSE n.path || '/' || c.key END, c.v, c.key IS NOT NULL
+  FROM nodes n, LATERAL (
+    SELECT k AS key, json_extract(n.v, '$."' || k || '"') AS v FROM (SELECT unnest(CASE WHEN json_type(n.v) = 'OBJECT' THEN json_keys(n.v) ELSE [] END) AS k)
+    UNION ALL SELECT NULL, unnest(CASE WHEN json_type(n.v) = 'ARRAY' THEN json_extract(n.v, '$[*]') ELSE [] END)) c),
+typed AS (SELECT file_id, record_kind, written_at, path, CASE json_type(v) WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'integer' END AS t FROM nodes WHERE is_field),
+kinds AS (SELECT record_kind, path, list(DISTINCT t) FILTER (WHERE t <> 'null') AS ts, count(DISTINCT file_id) AS files, min(written_at) AS first_seen, max(written_at) AS last_seen FROM typed GROUP BY ALL)
+SELECT record_kind, path, CASE WHEN ts IS NULL THEN 'null' WHEN len(ts) = 1 THEN ts[1] WHEN len(list_filter(ts, lambda x: x NOT IN ('integer', 'number'))) = 0 THEN 'number' ELSE 'any' END AS json_type, files, first_seen, last_seen FROM kinds
+"""
 registry.add("p1_found", *_FILES)(drift.found)
 registry.add("p1_log", *_FILES)(drift.change_log)
-registry.add("p1_union_schema", "result_files")(drift.union_schema)
+registry.add("p1_union_schema", "result_files", sql=P1_UNION_SQL)(drift.union_schema)
 
 
 def _of_kind(kind: str):

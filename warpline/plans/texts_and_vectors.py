@@ -70,7 +70,7 @@ counts AS (SELECT word, other, count(*) AS n FROM near GROUP BY ALL)"""
 add("corpus_cooccurrence", "documents", sql=COUNTS + "SELECT * FROM counts")(C.cooccurrence)
 add("corpus_ppmi", "documents", sql=COUNTS + """, s AS (SELECT other AS w, sum(n)::DOUBLE AS s FROM counts GROUP BY 1)
 SELECT c.word, c.other, round(greatest(0.0, log2(c.n * (SELECT sum(s) FROM s) / (a.s * b.s) + 1e-8)), 5) + 0.0 AS ppmi FROM counts c JOIN s a ON a.w = c.word JOIN s b ON b.w = c.other""")(lambda d: C.ppmi(C.cooccurrence(d)))
-add("corpus_character_vocabulary", "documents")(C.character_vocabulary)
+add("corpus_character_vocabulary", "documents", sql="SELECT ch, (row_number() OVER (ORDER BY first_at) - 1) AS ch_id FROM (SELECT ch, min({'d': doc_id, 'p': pos}) AS first_at FROM (SELECT doc_id, text[pos::BIGINT] AS ch, pos FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS pos FROM documents WHERE text IS NOT NULL)) GROUP BY 1)")(C.character_vocabulary)
 add("corpus_digests", "documents", sql="SELECT doc_id, sha256(text) AS digest FROM documents")(C.digests)
 
 
