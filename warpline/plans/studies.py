@@ -63,7 +63,7 @@ def perplexity_collected(e):
     return h.groupBy("condition", "step").agg(F.array_sort(F.collect_list(r6(F.col("value"), 4))).alias("perplexities"))
 
 
-@add("evaluation_subset", "eval_items", sql="SELECT item_set, count(*) AS full_items, count(*) FILTER (WHERE pos < 20) AS subset_items, sum(item_id) FILTER (WHERE pos < 20) AS subset_ids FROM (SELECT *, row_number() OVER (PARTITION BY item_set ORDER BY item_id) - 1 AS pos FROM eval_items) GROUP BY 1")
+@add("evaluation_subset", "eval_items", sql="SELECT item_set, count(*) AS full_items, count(*) FILTER (WHERE pos < 20) AS subset_items, (sum(item_id) FILTER (WHERE pos < 20))::BIGINT AS subset_ids FROM (SELECT *, row_number() OVER (PARTITION BY item_set ORDER BY item_id) - 1 AS pos FROM eval_items) GROUP BY 1")
 def evaluation_subset(items):
     """The first 20 items of each set, as evaluated on the way, and all of them, as evaluated at the end."""
     placed = items.withColumn("pos", F.row_number().over(Window.partitionBy("item_set").orderBy("item_id")) - 1)
