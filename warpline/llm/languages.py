@@ -66,7 +66,12 @@ def tidy(line: str) -> str:
     return re.sub(r"\d+", "0", line.lower())
 
 
+_NO_ASCII_LETTERS = bytes(k for k in range(128) if not chr(k).isalpha())
+
+
 def letters_of(line: str) -> int:
+    if line.isascii():
+        return len(line.encode().translate(None, _NO_ASCII_LETTERS))
     return sum(map(len, _LETTER.findall(line)))
 
 
@@ -77,11 +82,10 @@ def is_prose(line: str) -> bool:
     letters = letters_of(bare)
     if not letters or letters < 2:
         return False
-    wide = len(_WIDE.findall(bare))
+    wide = 0 if bare.isascii() else len(_WIDE.findall(bare))
     if wide * 2 >= letters:
         return len(set(bare)) > 3
-    words = [w.strip(_EDGES) for w in bare.split()]
-    plain = [w for w in words if w.isalpha() or _PLAIN_WORD.fullmatch(w)]
+    plain = [w for w in (w if w.isalpha() else w.strip(_EDGES) for w in bare.split()) if w.isalpha() or _PLAIN_WORD.fullmatch(w)]
     inside = letters_of("".join(plain))
     if inside + wide < 0.7 * letters or len(plain) < 3 or letters >= LETTERS and len(set(plain)) < 3:
         return False
