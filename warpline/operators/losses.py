@@ -13,7 +13,8 @@ from warpline.functions import arrays as A
 from warpline.functions.numeric import r6
 
 EPS = 1e-7
-ENDLESS = 30.0
+#: Mean losses above this have an infinite perplexity.
+ENDLESS = 20.0
 
 
 def softmax_terms(scores: Column, label: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from warpline.functions.keys import bare_id
 from warpline.functions.numeric import deviation, divided, finite, half_up, r6
+from warpline.operators.losses import ENDLESS
 from warpline.session import settled
 
 #: Two-sided 95 % points of Student's t for 1 to 30 degrees of freedom; fixed values.
@@ -232,9 +233,12 @@ def t_interval(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def perplexity_by_epoch(updates: DataFrame) -> DataFrame:
-    """(condition, epoch, mean, sd, runs): exp of the mean loss of each run's epoch, then over runs."""
-    rows = updates.where(finite("loss") & (F.col("loss") < 50)).dropDuplicates(["run_id", "update_no", "loss"])
-    per = rows.groupBy("run_id", F.col("canonical_condition_id").alias("condition"), "epoch").agg(F.exp(F.avg("loss")).alias("p"))
+    """(condition, epoch, mean, sd, runs): exp of the mean loss of each run's epoch, then over runs.
+
+    All finite losses count; an epoch whose perplexity is infinite (see ``losses.ENDLESS``) is no value of its run.
+    """
+    rows = updates.where(finite("loss")).dropDuplicates(["run_id", "update_no", "loss"])
+    per = rows.groupBy("run_id", F.col("canonical_condition_id").alias("condition"), "epoch").agg(F.avg("loss").alias("m")).where(F.col("m") <= ENDLESS).withColumn("p", F.exp("m"))
     return per.groupBy("condition", "epoch").agg(r6(F.avg("p"), 3).alias("mean"), r6(deviation("p"), 3).alias("sd"), F.count("*").alias("runs"))
 
 

@@ -114,7 +114,7 @@ add("loss_negative_sampling", "embeddings", sql=V + f", t AS (SELECT {_BCE.forma
     lambda e: L.negative_sampling(_rows(e).select(F.get("e", F.lit(0)).alias("pos"), F.slice("e", F.lit(2), F.size("e")).alias("neg")), "pos", "neg")
 )
 add("loss_accuracy", "embeddings", sql=SCORES + "SELECT count(*) FILTER (WHERE list_position(e, list_max(e)) = label + 1) AS correct, count(*) AS n, round(count(*) FILTER (WHERE list_position(e, list_max(e)) = label + 1) / count(*), 6) + 0.0 AS accuracy FROM s")(lambda e: L.accuracy(_scores(e), "scores", "label"))
-add("loss_perplexity", "updates", sql="""SELECT canonical_condition_id, CASE WHEN m > 30 THEN 'inf'::DOUBLE ELSE round(exp(m), 4) + 0.0 END AS perplexity, round(m, 6) + 0.0 AS loss
+add("loss_perplexity", "updates", sql="""SELECT canonical_condition_id, CASE WHEN m > 20 THEN 'inf'::DOUBLE ELSE round(exp(m), 4) + 0.0 END AS perplexity, round(m, 6) + 0.0 AS loss
 FROM (SELECT canonical_condition_id, sum(loss * batch_size) / sum(batch_size) AS m FROM updates WHERE isfinite(loss) AND batch_size IS NOT NULL GROUP BY 1)""")(
     lambda u: L.perplexity(u.where(finite("loss") & F.col("batch_size").isNotNull()), "loss", "batch_size", "canonical_condition_id")
 )

@@ -55,8 +55,9 @@ add("protocol_pairs", "runs", sql=ATTEMPTS + """, p AS (SELECT DISTINCT conditio
 SELECT condition, a.protocol AS implemented, b.protocol AS original, a.protocol = b.protocol OR list_sort([a.protocol, b.protocol]) IN (['2024.1', '2024.2'], ['2024.2', '2025.1']) AS compatible
 FROM p a JOIN p b USING (condition) WHERE a.variant = 'implemented' AND b.variant = 'original'""")(R.protocol_pairs)
 add("parent_roots", "runs", sql=ATTEMPTS.replace("WITH att", "WITH RECURSIVE att") + """, edge AS (SELECT lower(c.run_id) AS id, p.id AS up FROM att c LEFT JOIN (SELECT lower(run_id) AS id FROM att) p ON p.id = c.parent),
-walk AS (SELECT id, id AS root, 0 AS depth FROM edge UNION ALL SELECT w.id, e.up, w.depth + 1 FROM walk w JOIN edge e ON e.id = w.root WHERE e.up IS NOT NULL AND w.depth < 16)
-SELECT id AS run_id, arg_max(root, depth) AS root, max(depth) AS depth FROM walk GROUP BY id""")(R.roots)
+walk AS (SELECT id, id AS root, 0 AS depth FROM edge UNION ALL SELECT w.id, e.up, w.depth + 1 FROM walk w JOIN edge e ON e.id = w.root WHERE e.up IS NOT NULL AND w.depth < (SELECT count(*) FROM edge)),
+ends AS (SELECT id, arg_max(root, depth) AS root, max(depth) AS depth, max(depth) < (SELECT count(*) FROM edge) AS rests FROM walk GROUP BY id)
+SELECT id AS run_id, CASE WHEN rests THEN root END AS root, CASE WHEN rests THEN depth END AS depth FROM ends""")(R.roots)
 add("parent_relinks", "runs", sql=ATTEMPTS + """, parents AS (SELECT condition, variant, count(*) AS n, min(run_id) AS candidate FROM att WHERE run_type = 'condition_parent' AND lifecycle = 'active' GROUP BY ALL)
 SELECT a.run_id, CASE WHEN p.n = 1 THEN 'relink' WHEN p.n IS NULL THEN 'unresolved' ELSE 'ambiguous' END AS action, CASE WHEN p.n = 1 THEN p.candidate END AS new_parent
 FROM att a LEFT JOIN parents p USING (condition, variant) WHERE run_type = 'seed_trial' AND a.parent <> '' AND a.parent NOT IN (SELECT lower(run_id) FROM att)""")(R.relinks)
@@ -90,7 +91,7 @@ def timing_t_interval(r):
 
 
 add("perplexity_by_epoch", "updates", sql=f"""SELECT condition, epoch, round(avg(p), 3) + 0.0 AS mean, round(coalesce(stddev_samp(p), 0), 3) + 0.0 AS sd, count(*) AS runs FROM (
-  SELECT run_id, canonical_condition_id AS condition, epoch, exp(avg(loss)) AS p FROM (SELECT DISTINCT run_id, update_no, loss, canonical_condition_id, epoch FROM updates WHERE {FIN.format('loss')} AND loss < 50) GROUP BY ALL) GROUP BY ALL""")(R.perplexity_by_epoch)
+  SELECT run_id, canonical_condition_id AS condition, epoch, exp(avg(loss)) AS p FROM (SELECT DISTINCT run_id, update_no, loss, canonical_condition_id, epoch FROM updates WHERE {FIN.format('loss')}) GROUP BY ALL HAVING avg(loss) <= 20) GROUP BY ALL""")(R.perplexity_by_epoch)
 _BINS = """SELECT g.b::INT AS bin_index, round(lo + (hi - lo) / {n} * g.b, 6) + 0.0 AS bin_left, round(lo + (hi - lo) / {n} * (g.b + 1), 6) + 0.0 AS bin_right, coalesce(c.count, 0) AS count, zero_ratio
 FROM e, range(0, {n}) g(b) LEFT JOIN c ON c.b = g.b"""
 add("histogram_of_losses", "updates", sql=f"""WITH v AS (SELECT least(loss, 20.0) AS x FROM updates WHERE {FIN.format('loss')}), e AS (SELECT min(x) AS lo, max(x) AS hi, round(avg((x = 0)::INT), 6) + 0.0 AS zero_ratio FROM v),

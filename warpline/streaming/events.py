@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,17 +50,23 @@ CLOSED = "user_id bigint, window bigint, events bigint, total double"
 
 
 def closed_windows(events: DataFrame, closing: str = "purchase") -> DataFrame:
-    """(user_id, window, events, total) as a stream: stretches of a user's events up to a closing one; open stretches stay in the state."""
+    """(user_id, window, events, total) as a stream: stretches of a user's events up to a closing one.
+
+    The state is three numbers a user, whatever the length of the open stretch; users aren't forgotten.
+    """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, n, total = state.get if state.exists else (0, 0, 0.0)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for kind, value in zip(rows["event_type"], rows["value"], strict=True):
-            n, total = n + 1, total + (0.0 if pd.isna(value) else float(value))
-            if kind == closing:
-                out.append((key[0], number, n, round(total, 4)))
-                number, n, total = number + 1, 0, 0.0
+        value, closes = rows["value"].fillna(0.0).to_numpy(float), (rows["event_type"] == closing).to_numpy()
+        # the number of closing events before each one is its window, counted from the open one
+        window = np.cumsum(closes) - closes
+        done = int(closes.sum())
+        counts, sums = np.bincount(window, minlength=done + 1), np.bincount(window, value, minlength=done + 1)
+        counts[0] += n
+        sums[0] += total
+        out = [(key[0], number + k, int(counts[k]), round(float(sums[k]), 4)) for k in range(done)]
+        number, n, total = number + done, int(counts[done]), float(sums[done])
         state.update((number, n, total))
         yield pd.DataFrame(out, columns=["user_id", "window", "events", "total"])
 
@@ -75,15 +82,20 @@ def every_n_points(updates: DataFrame, every: int = 10) -> DataFrame:
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, last, n, units, total = state.get if state.exists else (0, -1, 0, 0, 0.0)
         rows = pd.concat(list(batches)).sort_values("update_no").drop_duplicates("update_no")
+        rows = rows[(rows["update_no"] > last) & np.isfinite(rows["loss"].to_numpy(float))]
         out = []
-        for update, loss, size in zip(rows["update_no"], rows["loss"], rows["batch_size"], strict=True):
-            if update <= last or pd.isna(loss) or loss in (float("inf"), float("-inf")):
-                continue
-            last, n, units, total = int(update), n + 1, units + int(size), total + float(loss)
-            if seen % every == 0:
-                out.append((key[0], seen // every, last, units, total / n))
-                n, units, total = 0, 0, 0.0
-            seen += 1
+        if len(rows):
+            loss, size, update = rows["loss"].to_numpy(float), rows["batch_size"].to_numpy(), rows["update_no"].to_numpy()
+            # the updates with a number divisible by ``every`` end a point
+            place = seen + np.arange(len(rows))
+            ends = place % every == 0
+            point = np.cumsum(ends) - ends
+            done = int(ends.sum())
+            counts, sums = np.bincount(point, minlength=done + 1), np.bincount(point, loss, minlength=done + 1)
+            sizes = np.bincount(point, size.astype(float), minlength=done + 1).astype(int)
+            counts[0], sums[0], sizes[0] = counts[0] + n, sums[0] + total, sizes[0] + units
+            out = [(key[0], int(p // every), int(u), int(sizes[k]), float(sums[k] / counts[k])) for k, (p, u) in enumerate(zip(place[ends], update[ends], strict=True))]
+            seen, last, n, units, total = seen + len(rows), int(update[-1]), int(counts[done]), int(sizes[done]), float(sums[done])
         state.update((seen, last, n, units, total))
         yield pd.DataFrame(out, columns=["run_id", "point", "last_update", "unit_count", "mean"])
 
