@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warpline.functions.keys import bare_id, usable
+from warpline.session import if_small, settled
 
 PERIOD, HARMONICS, BLOCK, FADE, SLOTS_AT_ONCE = 12, 2, 4096, 6, 4096
 PARAMETERS = 2 + 2 * HARMONICS
@@ -149,6 +150,8 @@ def run_store_readings(runs: DataFrame, conditions: DataFrame, metrics: DataFram
         .groupBy("key").agg(F.max("own").alias("own"), F.max("canonical_condition_id").alias("canonical_condition_id"))
         .join(every_of, "canonical_condition_id", "left").select("key", F.coalesce("own", "recording_every").alias("every"))
     )
+    # one narrow row a run: sent along while it is small, so that the readings aren't shuffled for it
+    step_of_run = if_small(settled(step_of_run))
     m = (
         metrics.where(usable(F.col("value")) & F.col("step").isNotNull()).select("run_id", "metric_key", F.col("step").cast("double").alias("step"), "value", bare_id("run_id").alias("key"))
         .join(step_of_run, "key").select(F.lit("metrics").alias("source"), "run_id", F.col("metric_key").alias("series"), "every", "step", "value")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 _SETTLED = "warpline-settled-"
 #: Narrow rows that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
