@@ -22,20 +22,20 @@ for _name, (_sql, _f) in _OPS.items():
 
     def _by_row(e, f=_f):
         """Every vector and the mean vector."""
-        return _round(Y.broadcasted(_long(e), _long(e).groupBy("j").agg(F.avg("v").alias("v")), f, "i"), 4)
+        return Y.broadcasted(_long(e), _long(e).groupBy("j").agg(F.avg("v").alias("v")), f, "i")
 
     def _by_column(e, f=_f):
         """Every vector and its own mean."""
-        return _round(Y.broadcasted(_long(e), _long(e).groupBy("i").agg(F.avg("v").alias("v")), f, "j"), 4)
+        return Y.broadcasted(_long(e), _long(e).groupBy("i").agg(F.avg("v").alias("v")), f, "j")
 
-    # of quotients it is told whether they are above one: tiny divisors depend on the order of the mean's additions
+    # quotients are cut at 50: by tiny means they would depend on the order of the mean's additions
     for _side, _mean, _key, _build in (("row", "c", "j", _by_row), ("column", "r", "i", _by_column)):
         if "divide" in _name:
-            _q = f"SELECT i, j, (abs({_sql}) > 1)::INT::DOUBLE AS v FROM (SELECT long.i, long.j, v AS a, m AS b FROM long JOIN {_mean} USING ({_key}))"
-            add(f"tensor_{_side}_{_name}", "embeddings", sql=_MEANS + _q)(lambda e, build=_build: build(e).select("i", "j", (F.abs("v") > 1).cast("int").cast("double").alias("v")))
+            _q = f"SELECT i, j, round(greatest(least({_sql}, 50.0), -50.0), 3) + 0.0 AS v FROM (SELECT long.i, long.j, v AS a, m AS b FROM long JOIN {_mean} USING ({_key}))"
+            add(f"tensor_{_side}_{_name}", "embeddings", sql=_MEANS + _q)(lambda e, build=_build: _round(build(e).select("i", "j", F.greatest(F.least("v", F.lit(50.0)), F.lit(-50.0)).alias("v")), 3))
         else:
             _q = f"SELECT i, j, round({_sql}, 4) + 0.0 AS v FROM (SELECT long.i, long.j, v AS a, m AS b FROM long JOIN {_mean} USING ({_key}))"
-            add(f"tensor_{_side}_{_name}", "embeddings", sql=_MEANS + _q)(_build)
+            add(f"tensor_{_side}_{_name}", "embeddings", sql=_MEANS + _q)(lambda e, build=_build: _round(build(e), 4))
 
 add("tensor_negated", "embeddings", sql=V + "SELECT i, j, round(-v, 6) + 0.0 AS v FROM long")(lambda e: _round(_long(e).select("i", "j", (-F.col("v")).alias("v"))))
 add("tensor_compared", "embeddings", sql=V + "SELECT i, j, v <= 0.1 AS v FROM long")(lambda e: _long(e).select("i", "j", (F.col("v") <= 0.1).alias("v")))
