@@ -48,7 +48,8 @@ _LEAD = re.compile(r"^\s*(?:(?:[#>*=+•\-]+|\(?\[?\d+[\]).:]*|\|)\s+)*")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _WIDE = re.compile("[ᄀ-ᇿ぀-ヿ㄰-㆏㐀-鿿가-힯豈-﫿]")
-_CODE_SIGN = re.compile(r"[{}\[\]=<>|$\\_\"@;]|\w\(|::|->")
+_CODE_SIGNS = (*'{}[]=<>|$\\_"@;', "::")  # "->" is counted by its ">"
+_CALL = re.compile(r"[^\W_]\(")
 _PLAIN_WORD = re.compile(r"[^\W\d_]+(?:[-'’·][^\W\d_]+)*")
 _EDGES = "\"'“”‘’«»„‚‹›()[]{},.:;!?¿¡…*_`|"
 
@@ -89,9 +90,10 @@ def is_prose(line: str) -> bool:
     inside = letters_of("".join(plain))
     if inside + wide < 0.7 * letters or len(plain) < 3 or letters >= LETTERS and len(set(plain)) < 3:
         return False
-    if len(_NUMBER.findall(bare)) > len(plain):  # sums and dates
+    if bare.count("0") > len(plain) and len(_NUMBER.findall(bare)) > len(plain):  # sums and dates; any digits are 0 here
         return False
-    return len(_CODE_SIGN.findall(bare)) < max(2, 0.35 * len(plain))
+    signs = sum(map(bare.count, _CODE_SIGNS)) + (len(_CALL.findall(bare)) if "(" in bare else 0)
+    return signs < max(2, 0.35 * len(plain))
 
 
 class Network:
@@ -116,18 +118,18 @@ class Network:
         """Of each window's languages. Rows of two neighbouring bytes are added beforehand: one look-up for two bytes."""
         pairs = {(w, k): (self.tables[w][k][:, None] + self.tables[w][k + 1][None]).reshape(65_536, FILTERS) for w in WIDTHS for k in range(0, w - 1, 2)}
         parts = []
-        for k in range(0, len(x), 256):
-            b = x[k : k + 256]
-            two = (b[:, :-1].astype(np.int32) << 8) + b[:, 1:]
+        for k in range(0, len(x), 128):
+            b = np.ascontiguousarray(x[k : k + 128].T)  # places first: the maximum over them runs along whole rows
+            two = (b[:-1].astype(np.int32) << 8) + b[1:]
             pooled = []
             for w in WIDTHS:
-                n = b.shape[1] - w + 1
-                r = pairs[w, 0].take(two[:, :n], axis=0)
+                n = len(b) - w + 1
+                r = pairs[w, 0].take(two[:n], axis=0)
                 for j in range(2, w - 1, 2):
-                    r += pairs[w, j].take(two[:, j : j + n], axis=0)
+                    r += pairs[w, j].take(two[j : j + n], axis=0)
                 if w % 2:
-                    r += self.tables[w][w - 1].take(b[:, w - 1 : w - 1 + n], axis=0)
-                pooled.append(np.maximum(0, r.max(axis=1) + self.bias[w]))
+                    r += self.tables[w][w - 1].take(b[w - 1 : w - 1 + n], axis=0)
+                pooled.append(np.maximum(0, r.max(axis=0) + self.bias[w]))
             z = np.concatenate(pooled, axis=1) @ self.out + self.out_bias
             z -= z.max(axis=1, keepdims=True)
             parts.append(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))
