@@ -98,7 +98,7 @@ def test_corpus(spark):
     assert C.batch_positions(20, 2, 3, 1) == [[3, 4, 5], [13, 14, 15]]
 
 
-def test_unigram_and_negatives(spark):
+def test_unigram_and_negatives(spark, monkeypatch):
     counts = spark.createDataFrame([(0, 80), (1, 15), (2, 5)], "word_id bigint, n bigint")
     u = {r["word_id"]: r["p"] for r in C.unigram(counts).collect()}
     assert np.allclose([u[i] for i in range(3)], [0.709251, 0.202093, 0.088656], atol=1e-6)
@@ -108,6 +108,12 @@ def test_unigram_and_negatives(spark):
     share = {r["negative"]: r["n"] / 5000 for r in got.where("word_id = 0").groupBy("negative").agg(F.count("*").alias("n")).collect()}
     assert abs(share[1] - 0.75) < 0.02 and abs(share[2] - 0.25) < 0.02
     assert S.without_replacement(counts, "word_id", "n", 2).count() == 2
+    dirt = spark.createDataFrame([(k, w) for k in range(200) for w in (0, 2, None, 99)], "k bigint, word_id bigint")
+    sent = sorted(map(tuple, S.drawn(dirt, ["k", "word_id"], C.unigram(counts), 3, "word_id").collect()))
+    assert len(sent) == 1200
+    monkeypatch.setattr(S, "WORDS_SENT", 0)  # the way for any number of words gives the same draws
+    assert sorted(map(tuple, S.drawn(dirt, ["k", "word_id"], C.unigram(counts), 3, "word_id").collect())) == sent
+    assert S.drawn(dirt.limit(0), ["k"], C.unigram(counts), 3, "word_id").count() == 0
 
 
 def test_vectors(spark):

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from warpline.session import if_small, settled
+from warpline.session import settled
+
+#: Words whose distribution is sent to the executors at most, 24 bytes each.
+WORDS_SENT = 2_000_000
+_BELOW_ONE = 1 - 2.0**-53
 
 
 def uniform(*keys: Column | str, seed: int = 0) -> Column:
@@ -20,22 +27,50 @@ def digest_uniform(*keys: Column | str, seed: int = 0) -> Column:
 
 
 def drawn(rows: DataFrame, keys: list[str], distribution: DataFrame, negatives: int, target: str, seed: int = 0) -> DataFrame:
-    """rows with ``negative``: that many exact draws a row, never the row's target, by inverting the conditional cdf.
+    """rows with ``draw`` and ``negative``: that many exact draws a row, never the row's target, by inverting the conditional cdf.
 
     ``distribution``: (word_id, p, low, cdf). The point ``u (1 - p_t)`` is moved past the target's interval, then found in
-    the cdf by a join on its cell, of which there are at least as many as words, so a cell holds few of them and the words
-    over all cells are at most twice as many. A distribution of a bounded size is sent along, and no draw is shuffled.
+    the cdf: of at most ``WORDS_SENT`` words by a search in the array, which is sent along, so that no row is shuffled; of
+    more by a join on the point's cell, with at least as many cells as words. Both give the same draws. Rows whose
+    target isn't among the words, or is null, have none.
     """
-    distribution = settled(distribution)
-    cells = 1 << max(10, distribution.count().bit_length())
-    own = if_small(distribution.select(F.col("word_id").alias(target), (F.col("cdf") - F.col("low")).alias("_pt"), F.col("low").alias("_lt")))
-    draws = rows.join(own, target).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(negatives))))
-    u = uniform(*keys, "draw", seed=seed) * (1 - F.col("_pt"))
-    draws = draws.withColumn("_u", F.when(u < F.col("_lt"), u).otherwise(u + F.col("_pt"))).drop("_pt", "_lt")
-    place = lambda c: F.floor(c * cells).cast("int")
-    cut = distribution.where("cdf > low").select(F.col("word_id").alias("negative"), F.col("low").alias("_low"), F.col("cdf").alias("_high"), F.explode(F.sequence(place(F.col("low")), place(F.col("cdf")))).alias("_cell"))
-    found = draws.withColumn("_cell", place(F.col("_u"))).join(if_small(cut), "_cell").where((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
-    return found.drop("_cell", "_u", "_low", "_high")
+    distribution = settled(distribution.where("cdf > low").select("word_id", "low", "cdf"))
+    n = distribution.count()
+    us = [uniform(*keys, F.lit(k), seed=seed) for k in range(1, negatives + 1)]
+    if n <= WORDS_SENT:
+        words = distribution.orderBy("low").toPandas()  # at most WORDS_SENT rows of three numbers
+        by_id = words.sort_values("word_id")
+        shared = rows.sparkSession.sparkContext.broadcast([words[c].to_numpy() for c in ("word_id", "cdf")] + [by_id[c].to_numpy() for c in ("word_id", "low", "cdf")])
+        names = rows.columns
+        draw = pa.array(np.arange(1, negatives + 1, dtype=np.int32))
+
+        def run(batches):
+            ids, cdf, known, low, high = shared.value
+            for b in batches:
+                own = b.column(target).to_numpy(zero_copy_only=False)
+                own = np.where(b.column(target).is_null().to_numpy(zero_copy_only=False), -1, own).astype(np.int64)
+                at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+                there = np.flatnonzero(known[at] == own) if len(known) else np.zeros(0, np.int64)
+                b, at = b.take(pa.array(there)), at[there]
+                u = np.stack([b.column(f"_u{k}").to_numpy() for k in range(negatives)], 1) if len(there) else np.zeros((0, negatives))
+                pt, lt = (high[at] - low[at])[:, None], low[at][:, None]
+                point = u * (1 - pt)
+                point = np.minimum(np.where(point < lt, point, point + pt), _BELOW_ONE)
+                found = ids[np.minimum(np.searchsorted(cdf, point, side="right"), max(len(ids) - 1, 0))] if len(ids) else np.zeros((0, negatives), np.int64)
+                again = b.select(names).take(pa.array(np.repeat(np.arange(len(there)), negatives)))
+                yield pa.RecordBatch.from_arrays([*again.columns, draw.take(pa.array(np.tile(np.arange(negatives), len(there)))), pa.array(found.ravel().astype(np.int64))], names=[*names, "draw", "negative"])
+
+        schema = T.StructType([*rows.schema.fields, T.StructField("draw", T.IntegerType()), T.StructField("negative", T.LongType())])
+        return rows.select("*", *[u.alias(f"_u{k}") for k, u in enumerate(us)]).mapInArrow(run, schema)
+    cells = 1 << n.bit_length()
+    own = distribution.select(F.col("word_id").alias(target), (F.col("cdf") - F.col("low")).alias("_pt"), F.col("low").alias("_lt"))
+    draws = rows.select("*", F.posexplode(F.array(*us)).alias("draw", "_u")).withColumn("draw", F.col("draw") + 1).join(own, target)
+    u = F.col("_u") * (1 - F.col("_pt"))
+    draws = draws.withColumn("_u", F.least(F.when(u < F.col("_lt"), u).otherwise(u + F.col("_pt")), F.lit(_BELOW_ONE))).drop("_pt", "_lt")
+    place = lambda c: F.floor(c * cells).cast("bigint")
+    cut = distribution.select(F.col("word_id").alias("negative"), F.col("low").alias("_low"), F.col("cdf").alias("_high"), F.explode(F.sequence(place(F.col("low")), place(F.col("cdf")))).alias("_cell"))
+    found = draws.withColumn("_cell", place(F.col("_u"))).join(cut, "_cell").where((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
+    return found.select(*rows.columns, "draw", "negative")
 
 
 def rejected(rows: DataFrame, keys: list[str], target: str, words: int, negatives: int, rounds: int = 3, seed: int = 0) -> DataFrame:

@@ -15,6 +15,8 @@ from warpline.session import if_small, settled
 
 registry = Registry()
 add = registry.add
+#: Words of a vocabulary that is sent along at most; they are short.
+WORDS = 1_000_000
 
 V = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL), long AS (SELECT vec_id AS i, unnest(range(len(e)))::INT AS j, unnest(e) AS v FROM v)"
 
@@ -230,7 +232,7 @@ def sampling_negatives(d):
 
     t = C.tokens(d)
     v = settled(C.vocabulary(t))
-    return S.drawn(C.encoded(t, if_small(v.select("word", "word_id"))), ["doc_id", "pos"], C.unigram(v.select("word_id", "n")), 5, "word_id")
+    return S.drawn(C.encoded(t, if_small(v.select("word", "word_id"), WORDS)), ["doc_id", "pos"], C.unigram(v.select("word_id", "n")), 5, "word_id")
 
 
 _MD5_U = "('0x' || substr(md5({0}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
