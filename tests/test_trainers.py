@@ -65,3 +65,26 @@ def test_language_models(spark):
     w = R.language_weights(4, 3, np.random.default_rng(0))
     assert not {1, 2} & set(R.generated(w, 0, 30, np.random.default_rng(0), skip=(1, 2)))
     assert R.trained_language_models(tokens.where(F.lit(False))).count() == 0
+
+
+def test_lstm_language_model(spark):
+    rng = np.random.default_rng(0)
+    w = R.lstm_language_weights(6, 4, rng)
+    x, y = rng.integers(0, 6, (3, 5)), rng.integers(0, 6, (3, 5))
+    state = (rng.normal(size=(3, 4)), rng.normal(size=(3, 4)))
+    loss = lambda: R.lstm_language_step(w, x, y, state, 0.0, rng)
+    g = loss()[1]
+    for k, p in w.items():
+        for _ in range(3):
+            at = tuple(rng.integers(0, n) for n in p.shape)
+            kept = p[at]
+            p[at] = kept + 1e-5
+            up = loss()[0]
+            p[at] = kept - 1e-5
+            down = loss()[0]
+            p[at] = kept
+            assert abs((up - down) / 2e-5 - g[k][at]) < 1e-7
+    assert len(R.generated(w, 0, 7)) == 7 and 3 not in R.generated(w, 0, 20, np.random.default_rng(1), skip=(3,))
+    rows = [("a", d, i, t) for d in range(6) for i, t in enumerate("the cat sat on the mat and the dog sat on the rug".split())]
+    got = R.trained_language_models(spark.createDataFrame(rows, "condition string, doc_id bigint, pos int, word string"), seeds=1, size=16, epochs=20, rate=2.0, limit=1.0, kind="lstm").orderBy("epoch").collect()
+    assert got[-1]["perplexity"] < 0.6 * got[0]["perplexity"] and len(got) == 20

@@ -22,9 +22,9 @@ Weights = dict[str, np.ndarray]
 START = "_"
 
 
-def lstm_forward(x: np.ndarray, h: np.ndarray, w: Weights, side: str) -> tuple[np.ndarray, list]:
-    """(states (n, steps, hidden), what the way back needs) of (n, steps, inputs) from the state h."""
-    c, states, kept = np.zeros_like(h), [], []
+def lstm_forward(x: np.ndarray, h: np.ndarray, w: Weights, side: str, c: np.ndarray | None = None) -> tuple[np.ndarray, list, np.ndarray]:
+    """(states (n, steps, hidden), what the way back needs, last cell) of (n, steps, inputs) from the state h and the cell c."""
+    c, states, kept = np.zeros_like(h) if c is None else c, [], []
     n = h.shape[1]
     for t in range(x.shape[1]):
         a = x[:, t] @ w[f"{side}x"] + h @ w[f"{side}h"] + w[f"{side}b"]
@@ -33,7 +33,7 @@ def lstm_forward(x: np.ndarray, h: np.ndarray, w: Weights, side: str) -> tuple[n
         kept.append((x[:, t], h, c, f, g, i, o, np.tanh(new)))
         c, h = new, o * np.tanh(new)
         states.append(h)
-    return np.stack(states, 1), kept
+    return np.stack(states, 1), kept, c
 
 
 def lstm_backward(d: np.ndarray, kept: list, w: Weights, side: str, grads: Weights) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +70,8 @@ def step(w: Weights, q: np.ndarray, a: np.ndarray) -> tuple[float, Weights]:
     grads = {k: np.zeros_like(v) for k, v in w.items()}
     hidden = w["qh"].shape[0]
     attention = len(w["wo"]) == 2 * hidden
-    he, kept_e = lstm_forward(w["e"][q], np.zeros((len(q), hidden)), w, "q")
-    hd, kept_d = lstm_forward(w["e"][a[:, :-1]], he[:, -1], w, "a")
+    he, kept_e, _ = lstm_forward(w["e"][q], np.zeros((len(q), hidden)), w, "q")
+    hd, kept_d, _ = lstm_forward(w["e"][a[:, :-1]], he[:, -1], w, "a")
     top = hd
     if attention:
         p = _softmax(hd @ he.transpose(0, 2, 1))
@@ -107,7 +107,7 @@ def decoded(w: Weights, q: np.ndarray, start: int, length: int, given: np.ndarra
     """
     hidden = w["qh"].shape[0]
     attention = len(w["wo"]) == 2 * hidden
-    he, _ = lstm_forward(w["e"][q], np.zeros((len(q), hidden)), w, "q")
+    he, _, _ = lstm_forward(w["e"][q], np.zeros((len(q), hidden)), w, "q")
     h, c, last, out, weights = he[:, -1], np.zeros((len(q), hidden)), np.full(len(q), start), [], []
     for t in range(length):
         a = w["e"][last] @ w["ax"] + h @ w["ah"] + w["ab"]

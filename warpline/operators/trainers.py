@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warpline.operators.optimizers import _softmax
+from warpline.operators.seq2seq import lstm_backward, lstm_forward
 
 Weights = dict[str, np.ndarray]
 
@@ -130,11 +131,39 @@ def language_step(w: Weights, x: np.ndarray, y: np.ndarray, h: np.ndarray, ratio
     return float(loss / (n * steps)), g, hs[-1]
 
 
+def lstm_language_weights(words: int, size: int, rng: np.random.Generator) -> Weights:
+    normal = lambda *shape: rng.normal(0, size**-0.5, shape)
+    return {"e": rng.normal(0, 0.1, (words, size)), "lx": normal(size, 4 * size), "lh": normal(size, 4 * size), "lb": np.zeros(4 * size), "wo": normal(size, words), "bo": np.zeros(words)}
+
+
+def lstm_language_step(w: Weights, x: np.ndarray, y: np.ndarray, state: tuple[np.ndarray, np.ndarray], ratio: float, rng: np.random.Generator) -> tuple[float, Weights, tuple[np.ndarray, np.ndarray]]:
+    """The same with an LSTM layer, whose state is (h, c)."""
+    n, steps = x.shape
+    below, above = (dropout_mask((n, steps, w["lh"].shape[0]), ratio, rng) for _ in range(2))
+    hs, kept, c = lstm_forward(w["e"][x] * below, state[0], w, "l", state[1])
+    d = _softmax((hs * above).reshape(n * steps, -1) @ w["wo"] + w["bo"])
+    at = np.arange(n * steps)
+    loss = -np.log(d[at, y.ravel()] + 1e-12).mean()
+    d[at, y.ravel()] -= 1
+    d /= n * steps
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    g["wo"] += (hs * above).reshape(n * steps, -1).T @ d
+    g["bo"] += d.sum(0)
+    dx, _ = lstm_backward((d @ w["wo"].T).reshape(hs.shape) * above, kept, w, "l", g)
+    np.add.at(g["e"], x, dx * below)
+    return float(loss), g, (hs[:, -1], c)
+
+
 def generated(w: Weights, start: int, length: int, rng: np.random.Generator | None = None, skip: tuple[int, ...] = ()) -> list[int]:
     """``length`` words after ``start``: the likeliest each time, or drawn from the model if there is an rng; never one of ``skip``."""
-    h, word, out = np.zeros((1, w["wh"].shape[0])), start, []
+    size = len(w["wo"])
+    h, c, word, out = np.zeros((1, size)), np.zeros((1, size)), start, []
     for _ in range(length):
-        h = np.tanh(w["e"][[word]] @ w["wx"] + h @ w["wh"] + w["b"])
+        if "lx" in w:
+            states, _, c = lstm_forward(w["e"][[[word]]], h, w, "l", c)
+            h = states[:, -1]
+        else:
+            h = np.tanh(w["e"][[word]] @ w["wx"] + h @ w["wh"] + w["b"])
         p = _softmax(h @ w["wo"] + w["bo"])[0]
         p[list(skip)] = 0.0
         word = int(p.argmax()) if rng is None else int(rng.choice(len(p), p=p / p.sum()))
@@ -142,8 +171,8 @@ def generated(w: Weights, start: int, length: int, rng: np.random.Generator | No
     return out
 
 
-def trained_language_models(tokens: DataFrame, seeds: int = 3, size: int = 32, epochs: int = 10, streams: int = 4, span: int = 8, rate: float = 1.0, limit: float = 0.5, dropout: float = 0.0, decay: float = 0.0, length: int = 10) -> DataFrame:
-    """(condition, seed, epoch, perplexity, greedy, sampled): a recurrent model of the next word, and texts after the first word.
+def trained_language_models(tokens: DataFrame, seeds: int = 3, size: int = 32, epochs: int = 10, streams: int = 4, span: int = 8, rate: float = 1.0, limit: float = 0.5, dropout: float = 0.0, decay: float = 0.0, length: int = 10, kind: str = "rnn") -> DataFrame:
+    """(condition, seed, epoch, perplexity, greedy, sampled): a recurrent model (``rnn`` or ``lstm``) of the next word, and texts after the first word.
 
     ``tokens``: (condition, doc_id, pos, word); the documents follow each other. They are read as parallel streams of equal
     length, ``span`` steps at a time (truncated back-propagation); a last span may be shorter, and fewer than ``streams`` words
@@ -160,12 +189,13 @@ def trained_language_models(tokens: DataFrame, seeds: int = 3, size: int = 32, e
         jump = (len(ids) - 1) // n
         x, y = (ids[k : k + jump * n].reshape(n, jump) for k in (0, 1))
         rng = np.random.default_rng(seed)
-        w = language_weights(len(words), size, rng)
+        w = (lstm_language_weights if kind == "lstm" else language_weights)(len(words), size, rng)
+        forward = lstm_language_step if kind == "lstm" else language_step
         for epoch in range(1, epochs + 1):
-            h, total = np.zeros((n, size)), 0.0
+            h, total = (np.zeros((n, size)), np.zeros((n, size))) if kind == "lstm" else np.zeros((n, size)), 0.0
             for at in range(0, jump, span):
                 a, b = x[:, at : at + span], y[:, at : at + span]
-                loss, g, h = language_step(w, a, b, h, dropout, rng)
+                loss, g, h = forward(w, a, b, h, dropout, rng)
                 g = l2(g, w, decay)
                 clip = min(1.0, limit / (np.sqrt(sum((v * v).sum() for v in g.values())) + 1e-6))
                 for k, v in g.items():

@@ -49,11 +49,14 @@ def decoding_attention(items):
     return rows.select("condition", "seed", "example", "step", F.posexplode("w").alias("position", "weight"))
 
 
-@add("training_language_model", "eval_items")
-def training_language_model(items):
-    """(condition, seed, epoch, perplexity, greedy, sampled) of a recurrent model of the next word, by truncated back-propagation."""
-    words = C.tokens(_prose(items).drop("condition")).join(_prose(items).select("doc_id", "condition"), "doc_id")
-    return T.trained_language_models(words.select("condition", "doc_id", "pos", "word"), seeds=2, epochs=4, dropout=0.2, decay=1e-4)
+for _kind in ("rnn", "lstm"):
+
+    def _language_model(items, kind=_kind):
+        """(condition, seed, epoch, perplexity, greedy, sampled) of a recurrent model of the next word, by truncated back-propagation."""
+        words = C.tokens(_prose(items).drop("condition")).join(_prose(items).select("doc_id", "condition"), "doc_id")
+        return T.trained_language_models(words.select("condition", "doc_id", "pos", "word"), seeds=2, epochs=4, dropout=0.2, decay=1e-4, kind=kind)
+
+    add("training_language_model" + ("" if _kind == "rnn" else f"_{_kind}"), "eval_items")(_language_model)
 
 
 for _kind in ("cbow", "skipgram"):
