@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warpline.functions.numeric import divided, r6
+from warpline.session import if_small, settled
 
 _BLANKS = "[ \t\r\n]+"
 
@@ -109,9 +110,14 @@ def cooccurrence(documents: DataFrame, words=split_collapsed, window: int = 1) -
 
 
 def ppmi(counts: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """(word, other, ppmi): max(0, log2(n * N / (s_word * s_other) + eps)); column sums serve for both axes."""
-    sums = counts.groupBy("other").agg(F.sum("n").cast("double").alias("s"))
+    """(word, other, ppmi): max(0, log2(n * N / (s_word * s_other) + eps)); column sums serve for both axes.
+
+    The counts are read three times and so written down; the sums, one row a word, are sent along while they are few.
+    """
+    counts = settled(counts)
+    sums = settled(counts.groupBy("other").agg(F.sum("n").cast("double").alias("s")))
     total = sums.agg(F.sum("s").alias("all"))
+    sums = if_small(sums)
     rows = counts.join(sums.select(F.col("other"), F.col("s").alias("so")), "other").join(sums.select(F.col("other").alias("word"), F.col("s").alias("sw")), "word").crossJoin(total)
     value = F.greatest(F.lit(0.0), F.log2(divided(F.col("n") * F.col("all"), F.col("sw") * F.col("so")) + eps))
     return rows.select("word", "other", r6(value, 5).alias("ppmi"))

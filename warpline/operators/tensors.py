@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +38,21 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def gram(rows: DataFrame, vector: str) -> DataFrame:
-    """(i, j, v) of X'X: the pairs of columns are made within each row, so nothing is joined and sums combine early."""
-    v = A.doubles(vector)
-    places = F.sequence(F.lit(0), F.size(v) - 1)
-    cells = F.flatten(F.transform(places, lambda i: F.transform(places, lambda j: F.struct(i.alias("i"), j.alias("j"), (F.get(v, i) * F.get(v, j)).alias("v")))))
-    return rows.where(F.col(vector).isNotNull()).select(F.inline(cells)).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    """(i, j, v) of X'X: one matrix product a batch of rows, whose cells are added up, so nothing is joined.
+
+    Vectors of several lengths add to the cells that they have.
+    """
+
+    def run(batches):
+        for b in batches:
+            v = b.column(0)
+            sizes = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes):
+                x = v.filter(pa.array(sizes == size)).flatten().to_numpy(zero_copy_only=False).reshape(-1, int(size))
+                i, j = np.indices((int(size), int(size)))
+                yield pa.RecordBatch.from_arrays([pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array((x.T @ x).ravel())], names=["i", "j", "v"])
+
+    return rows.where(F.col(vector).isNotNull()).select(A.doubles(vector).alias("x")).mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def elementwise(a: DataFrame, b: DataFrame, f: Callable[[Column, Column], Column]) -> DataFrame:
