@@ -88,6 +88,7 @@ def test_query(spark, monkeypatch):
     want = {(i, k) for i in [*range(len(FOUND)), len(FOUND) + len(NOT) + 1] for k in (7, 8)}
     assert rows(L.leaks(d, items)) == want
     monkeypatch.setattr(L, "ITEMS_AT_ONCE", 1)
+    monkeypatch.setattr(L, "BLOCKS_AT_ONCE", 2)
     monkeypatch.setattr(L, "TOKENS_AT_ONCE", 50)
     assert rows(L.leaks(d, items)) == want
     assert L.leaks(d.limit(0), items).count() == 0 and L.leaks(d, items.limit(0)).count() == 0

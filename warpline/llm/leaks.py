@@ -16,8 +16,9 @@ first by distinct seeds. A pair is dropped where even the most that a chain coul
 ``most_covered``), is too little; only the others' hits are laid out, ``HITS_AT_ONCE`` at a time, and of equal matches no
 more than can be of use are tiled.
 
-The items are the stated query set. They are worked through in blocks of ``ITEMS_AT_ONCE``, each of
-which is sent to the executors, while all documents stream past; documents aren't shuffled.
+The items are the stated query set. They are worked through in blocks of ``ITEMS_AT_ONCE``, each of which is indexed and
+sent to the executors; all documents stream past ``BLOCKS_AT_ONCE`` blocks in one pass, so a text is told into tokens once
+for so many. Documents aren't shuffled.
 
 Defined results: null or empty documents hold nothing; an item of fewer tokens than a seed is found if all
 its tokens stand together; repeated items give a row each; a document that is read twice gives its rows
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 SEED, SEED_SIGNS, APART, COVERAGE = 3, 5, 120, 0.42
 GAP, END, END_AROUND = 12, 6, 10
-ITEMS_AT_ONCE = 20_000
+ITEMS_AT_ONCE, BLOCKS_AT_ONCE = 20_000, 4
 TOKENS_AT_ONCE = 400_000
 HITS_AT_ONCE = 2_000_000
 _SIGN = "぀-ヿ㐀-鿿豈-﫿"
@@ -318,15 +319,17 @@ def leaks(documents: DataFrame, items: DataFrame, text: str = "text") -> DataFra
     blocks = max(1, -(-total // ITEMS_AT_ONCE))
     part = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     passes = []
-    for k in range(blocks):
-        index = documents.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in wanted.where(part == k).collect()]))  # a block, bounded
+    send = documents.sparkSession.sparkContext.broadcast
+    for first in range(0, blocks, BLOCKS_AT_ONCE):
+        # each is a bounded block of items
+        indexes = [send(Items([(r[0], r[1]) for r in wanted.where(part == k).collect()])) for k in range(first, min(first + BLOCKS_AT_ONCE, blocks))]
 
-        def run(batches, index=index):
+        def run(batches, indexes=indexes):
             keys, words, size = [], [], 0
 
             def flush():
-                pairs = held_items(words, index.value)
-                return pa.RecordBatch.from_arrays([pa.array([keys[d] for d, _ in pairs], pa.int64()), pa.array([index.value.ids[i] for _, i in pairs], pa.int64())], names=["doc_id", "item_id"])
+                pairs = [(keys[d], index.value.ids[i]) for index in indexes for d, i in held_items(words, index.value)]
+                return pa.RecordBatch.from_arrays([pa.array([d for d, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], pa.int64())], names=["doc_id", "item_id"])
 
             for b in batches:
                 for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
