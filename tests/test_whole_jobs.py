@@ -75,3 +75,16 @@ def test_roots_of_deep_chains_and_cycles(spark):
     assert rows(R.roots(make(parents))) == want | {(i, None, None) for i in ("a", "b", "c", "below", "self")}
     assert rows(R.roots(make({"x": "x"}))) == {("x", None, None)} and rows(R.roots(make({"x": None}))) == {("x", "x", 0)}
     assert R.roots(make({"x": None}).limit(0)).count() == 0
+
+
+def test_settled_tables_can_be_removed_and_small_ones_are_sent(spark):
+    from warpline.session import if_small, settled, shared_folder, unsettle
+
+    before = settled(spark.range(5))
+    assert before.count() == 5
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(spark.range(9).join(if_small(before, 5), "id")) and "broadcast" not in plan(spark.range(9).join(if_small(before, 4), "id"))
+    unsettle(spark)
+    import os
+
+    assert not [x for x in os.listdir(shared_folder(spark).removeprefix("file:")) if x.startswith("warpline-settled-")]
