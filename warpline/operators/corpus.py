@@ -6,13 +6,19 @@ relies on the order of rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from warpline.functions.numeric import divided, r6
 from warpline.session import if_small, settled
 
 _BLANKS = "[ \t\r\n]+"
+#: Bytes of a vocabulary (words, ids and offsets) that are sent to the executors at most; about 1,500,000 words.
+BYTES_SENT = 1 << 25
 
 
 def split_collapsed(text: Column) -> Column:
@@ -54,6 +60,97 @@ def decoded(ids: DataFrame, vocab: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda r: r["word"]), " ").alias("text"))
 
 
+def told_apart(documents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The documents whose id stands in one row, and the rows of the others (None: there are none)."""
+    again = settled(documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")))
+    if again.isEmpty():
+        return documents, None
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    return documents.join(again, same, "left_anti"), documents.join(again, same, "left_semi")
+
+
+def _sent(vocab: DataFrame):
+    """The words and their ids in the order of ids, as a broadcast value; None if they are more than ``BYTES_SENT``."""
+    size = vocab.agg(F.coalesce(F.sum(F.octet_length("word") + 12), F.lit(0))).first()[0]
+    if size > BYTES_SENT:
+        return None
+    t = vocab.select("word", "word_id").toArrow()
+    t = t.take(pa.array(np.argsort(t.column("word_id").to_numpy()))).combine_chunks()
+    return vocab.sparkSession.sparkContext.broadcast((pa.concat_arrays([pa.array([], pa.string()), *t.column("word").chunks]), t.column("word_id").to_numpy()))
+
+
+def _flat(b: pa.RecordBatch, column: str) -> tuple[pa.Array, np.ndarray]:
+    """The elements of a column of lists without nulls, and the number of each element's row."""
+    lists = b.column(column)
+    return lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+
+
+def _places(flat: pa.Array, words: pa.Array) -> np.ndarray:
+    """The place of each word among the given words, -1 if it isn't there."""
+    d = flat.dictionary_encode()
+    at = pc.fill_null(pc.index_in(d.dictionary, value_set=words), -1).to_numpy(zero_copy_only=False)
+    return at[d.indices.to_numpy()].astype(np.int64)
+
+
+def _lists(b: pa.RecordBatch, column: str, values: pa.Array, row: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, column) with the values of each row as a list; rows without values are left out."""
+    n = np.bincount(row, minlength=b.num_rows)
+    some = np.flatnonzero(n)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[some])].astype(np.int32)), values)
+    return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(some)), lists], names=["doc_id", column])
+
+
+def word_lists(documents: DataFrame, words=split_collapsed) -> DataFrame:
+    """(doc_id, words) of the documents that have words."""
+    return documents.select("doc_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+
+
+def encoded_lists(lists: DataFrame, sent) -> DataFrame:
+    """(doc_id, ids): ``encoded`` of whole documents with a vocabulary that is sent along; no token is shuffled."""
+
+    def run(batches):
+        words, ids = sent.value
+        for b in batches:
+            flat, row = _flat(b, "words")
+            at = _places(flat, words)
+            known = at >= 0
+            yield _lists(b, "ids", pa.array(ids[at[known]]), row[known])
+
+    return lists.mapInArrow(run, T.StructType([lists.schema["doc_id"], T.StructField("ids", T.ArrayType(T.LongType()))]))
+
+
+def decoded_lists(encoded_: DataFrame, sent) -> DataFrame:
+    """(doc_id, text): ``decoded`` of the lists of ids, again without a shuffle."""
+
+    def run(batches):
+        words, ids = sent.value
+        for b in batches:
+            flat, row = _flat(b, "ids")
+            own = flat.to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
+            known = ids[at] == own if len(ids) else np.zeros(len(own), bool)
+            out = _lists(b, "words", words.take(pa.array(at[known])), row[known])
+            yield pa.RecordBatch.from_arrays([out.column("doc_id"), pc.binary_join(out.column("words"), " ")], names=["doc_id", "text"])
+
+    return encoded_.mapInArrow(run, T.StructType([encoded_.schema["doc_id"], T.StructField("text", T.StringType())]))
+
+
+def recoded(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): all documents encoded with their own vocabulary and decoded again.
+
+    A vocabulary of at most ``BYTES_SENT`` is sent along; with a larger one, and for ids that stand in several rows,
+    tokens are joined with it. Both give the same rows.
+    """
+    vocab = settled(vocabulary(tokens(documents)))
+    joined = lambda d: decoded(encoded(tokens(d), vocab), vocab)
+    sent = _sent(vocab)
+    if sent is None:
+        return joined(documents)
+    once, again = told_apart(documents)
+    out = decoded_lists(encoded_lists(word_lists(once), sent), sent)
+    return out if again is None else out.unionByName(joined(again))
+
+
 def word_counts(toks: DataFrame, vocab: DataFrame) -> DataFrame:
     """(word_id, n) of every word of the vocabulary, 0 of those that don't occur."""
     return vocab.select("word", "word_id").join(toks.groupBy("word").agg(F.count("*").alias("n")), "word", "left").select("word_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

@@ -36,9 +36,7 @@ def corpus_encode(d):
 
 @add("corpus_decode", "documents", sql=TOKENS + "SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM tokens GROUP BY doc_id")
 def corpus_decode(d):
-    t = C.tokens(d)
-    v = C.vocabulary(t)
-    return C.decoded(C.encoded(t, v), v)
+    return C.recoded(d)
 
 
 _SPLIT = "lower(coalesce(source, '')) LIKE '%e0_'"
