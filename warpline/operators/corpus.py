@@ -19,6 +19,8 @@ from warpline.session import if_small, settled
 _BLANKS = "[ \t\r\n]+"
 #: Bytes of a vocabulary (words, ids and offsets) that are sent to the executors at most; about 1,500,000 words.
 BYTES_SENT = 1 << 25
+#: Tokens whose vectors are laid out at once.
+TOKENS_AT_ONCE = 32_768
 
 
 def split_collapsed(text: Column) -> Column:
@@ -151,6 +153,84 @@ def recoded(documents: DataFrame) -> DataFrame:
     return out if again is None else out.unionByName(joined(again))
 
 
+def _summed(vectors: pa.Table, words: pa.Array) -> list[np.ndarray]:
+    """Of (word, vec), by word and component: the sum of the numbers, how many there are, and the rows, nulls included.
+
+    Rows of a word add up; shorter vectors have no rows in the components that they lack.
+    """
+    vec = pa.concat_arrays([pa.array([], pa.list_(pa.float64())), *vectors.column("vec").chunks])
+    n = pc.list_value_length(vec).to_numpy(zero_copy_only=False)
+    row, flat = np.repeat(np.arange(len(n)), n), vec.flatten()
+    j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = pc.index_in(vectors.column("word").combine_chunks(), value_set=words).to_numpy(zero_copy_only=False)[row]
+    there = flat.is_valid().to_numpy(zero_copy_only=False)
+    out = [np.zeros((len(words), int(n.max(initial=0)))) for _ in range(3)]
+    for table, value in zip(out, (pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False), there, 1.0)):
+        np.add.at(table, (at, j), value)
+    total, many, rows = out
+    # the usual case, whole vectors: one column of counts serves for all components
+    return [total, many[:, :1], rows[:, :1]] if (many == rows[:, :1]).all() and (rows == rows[:, :1]).all() else out
+
+
+def context_weights(place: np.ndarray, length: np.ndarray, window: int) -> np.ndarray:
+    """In how many contexts of ``contexts`` the word at each place of a document of so many words stands."""
+    targets = [place - k for k in range(-window, window + 1) if k]
+    return sum(((t >= window) & (t < length - window)).astype(np.int64) for t in targets)
+
+
+def _means_joined(documents: DataFrame, words: DataFrame, window: int) -> DataFrame:
+    near = contexts(documents, window=window).select("doc_id", F.explode("context").alias("word"))
+    # counted per document and word first, so that frequent words don't multiply the join
+    counted = near.groupBy("doc_id", "word").agg(F.count("*").alias("k"))
+    j = counted.join(words.select("word", F.posexplode("vec").alias("j", "x")), "word")
+    return j.groupBy("doc_id", "j").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("x")).alias("s"), F.sum(F.when(F.col("x").isNotNull(), F.col("k"))).alias("m"))
+
+
+def context_means(documents: DataFrame, vectors: DataFrame, window: int = 2) -> DataFrame:
+    """(doc_id, j, n, v): the mean of the vectors of all context words of a document that have one, component by component.
+
+    ``vectors``: (word_id, vec), by the vocabulary of the documents. n counts null components, v is the mean of the others.
+    The words that have a vector, of which there are no more than vectors, are sent along if they and their numbers are
+    at most ``BYTES_SENT``, so that neither tokens nor sums are shuffled; else, and for ids that stand in several
+    rows, counts of words are joined with them. Both give the same rows.
+    """
+    words = settled(vocabulary(tokens(documents)).select("word", "word_id").join(vectors, "word_id").select("word", "vec"))
+    size = words.agg(F.coalesce(F.sum(F.octet_length("word") + 4), F.lit(0)), F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    mean = lambda d: d.select("doc_id", "j", "n", r6(F.col("s") / F.nullif("m", F.lit(0)), 4).alias("v"))
+    if size[0] + 24 * size[1] * size[2] > BYTES_SENT:
+        return mean(_means_joined(documents, words, window))
+    table = words.toArrow()
+    known = table.column("word").unique()
+    sent = documents.sparkSession.sparkContext.broadcast((known, _summed(table, known)))
+    once, again = told_apart(documents)
+    lists = word_lists(once)
+    kind = T.StructType([lists.schema["doc_id"], T.StructField("j", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("m", T.LongType())])
+
+    def run(batches):
+        words, tables = sent.value
+        for b in batches:
+            flat, row = _flat(b, "words")
+            length = np.bincount(row, minlength=b.num_rows)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+            weight = context_weights(place, length[row], window)
+            at = _places(flat, words)
+            use = (weight > 0) & (at >= 0)
+            at, row, weight = at[use], row[use], weight[use]
+            s, m, n = (np.zeros((b.num_rows, t.shape[1])) for t in tables)
+            for start in range(0, len(at), TOKENS_AT_ONCE):
+                cut = slice(start, start + TOKENS_AT_ONCE)
+                first = np.flatnonzero(np.r_[True, row[cut][1:] != row[cut][:-1]])
+                for out, t in zip((s, m, n), tables):
+                    out[row[cut][first]] += np.add.reduceat(t[at[cut]] * weight[cut, None], first)
+            m, n = (np.broadcast_to(x, s.shape) for x in (m, n))
+            doc, j = np.nonzero(n)
+            pick = lambda x, t: pa.array(x[doc, j].astype(t))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(j.astype(np.int32)), pick(n, np.int64), pick(s, float), pick(m, np.int64)], names=kind.names)
+
+    out = mean(lists.mapInArrow(run, kind))
+    return out if again is None else out.unionByName(mean(_means_joined(again, words, window)))
+
+
 def word_counts(toks: DataFrame, vocab: DataFrame) -> DataFrame:
     """(word_id, n) of every word of the vocabulary, 0 of those that don't occur."""
     return vocab.select("word", "word_id").join(toks.groupBy("word").agg(F.count("*").alias("n")), "word", "left").select("word_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

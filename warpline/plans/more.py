@@ -49,13 +49,7 @@ e AS (SELECT vec_id AS word_id, unnest(range(len(embedding)))::INT AS j, unnest(
 SELECT doc_id, j, count(*) AS n, round(avg(x), 4) + 0.0 AS v FROM (SELECT doc_id, word_id FROM c JOIN vocab USING (word)) JOIN e USING (word_id) GROUP BY ALL""")
 def corpus_cbow_encode(d, e):
     """(doc_id, j, n, v): the mean of the vectors of all context words of a document that have one, component by component."""
-    vocab = C.vocabulary(C.tokens(d))
-    near = C.contexts(d).select("doc_id", F.explode("context").alias("word"))
-    # counted per document and word first, so that frequent words don't multiply the join
-    counted = near.groupBy("doc_id", "word").agg(F.count("*").alias("k"))
-    v = e.where("embedding is not null").select(F.col("vec_id").alias("word_id"), F.posexplode(A.doubles("embedding")).alias("j", "x"))
-    j = counted.join(vocab.select("word", "word_id"), "word").join(v, "word_id")
-    return j.groupBy("doc_id", "j").agg(F.sum("k").alias("n"), r6(F.sum(F.col("k") * F.col("x")) / F.sum("k"), 4).alias("v"))
+    return C.context_means(d, e.where("embedding is not null").select(F.col("vec_id").alias("word_id"), A.doubles("embedding").alias("vec")))
 
 
 def _streamed(name: str, sql: str | None, path: str, build, mode: str):
